@@ -30,6 +30,9 @@ LANGUAGES = 1000
 QUANTILE, SLACK = 0.999, 1.5
 TEXTS_AT_ONCE = 512
 
+#: Digits separate words here.
+_LETTERS = textvec._LOWERED.copy()
+_LETTERS[0x30:0x3A] = 0
 _ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 
@@ -45,7 +48,7 @@ class Model:
 def counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Counts of the hashed n-grams of each text (float32, a row a text)."""
     n = len(bounds) - 1
-    byte = textvec._LOWERED[data].astype(np.uint32)
+    byte = _LETTERS[data].astype(np.uint32)
     row = np.repeat(np.arange(n), np.diff(bounds))
     out = np.zeros(n * DIMENSIONS, np.float32)
     code = np.zeros(len(byte), np.uint32)

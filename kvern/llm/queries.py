@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvern.llm import language_id, ngram_join, sharding, toxicity
+from kvern.llm import decontaminate, language_id, ngram_join, sharding, toxicity
 from kvern.llm.util import id_fold
 
 
@@ -42,10 +42,37 @@ def op7_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_ngram_jaccard_join, op4_sampled_splitters, op6_ftrl_toxicity, op7_nearest_centroid_language)
+    found = (op3_ngram_jaccard_join, op4_sampled_splitters, op6_ftrl_toxicity, op7_nearest_centroid_language, op9_prefix_filtered_decontamination)
     return {f.__name__: f for f in found}
 
 
+#: The words of a text in DuckDB, as the contract of op9 names them.
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP9 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, list_slice(w, s + 1, s + 10) AS v
+        FROM i, LATERAL (SELECT unnest(range(greatest(len(w) - 10, 0) + 1)) AS s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(v) AS n FROM win),
+cut AS (SELECT doc_id, n, s, list_slice(w, s + 1, s + n) AS v
+        FROM d, sizes, LATERAL (SELECT unnest(range(len(w) - n + 1)) AS s)),
+hit AS (SELECT c.doc_id, c.s, c.n, win.item_id FROM cut c JOIN win ON c.v = win.v),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_prefix_filtered_decontamination": _OP9}
