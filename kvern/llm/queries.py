@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvern.llm import decontaminate, language_id, ngram_join, sharding, toxicity
+from kvern.llm import decontaminate, language_id, ngram_join, sharding, spotsigs, toxicity
 from kvern.llm.util import id_fold
 
 
@@ -48,8 +48,15 @@ def op9_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spotsigs.edited_pairs(_table(spark, sf_dir, "documents"))
+    own, edited = spotsigs.fingerprint(F.col("signatures")), spotsigs.fingerprint(F.col("edited_signatures"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    return pairs.select("doc_id", "n_chars", digest.alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_ngram_jaccard_join, op4_sampled_splitters, op6_ftrl_toxicity, op7_nearest_centroid_language, op9_prefix_filtered_decontamination)
+    found = (op3_ngram_jaccard_join, op4_sampled_splitters, op6_ftrl_toxicity, op7_nearest_centroid_language, op9_prefix_filtered_decontamination, op10_spotsigs_fingerprints)
     return {f.__name__: f for f in found}
 
 
