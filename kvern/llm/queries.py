@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvern.llm import chat_format, decontaminate, language_id, mixing, ngram_join, sharding, spotsigs, toxicity
-from kvern.llm.util import id_fold, written
+from kvern.llm import chat_format, decontaminate, language_id, mixing, ngram_join, sharding, spotsigs, token_ids, toxicity
+from kvern.llm.util import fresh_path, id_fold, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", sharding.size_of(text).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ranked_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_path(spark)
+    token_ids.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_ids.index_ids(spark, path)
+
+
 def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -72,7 +80,7 @@ def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_raked_mixing, op2_prefix_target_chat, op3_ngram_jaccard_join, op4_sampled_splitters, op6_ftrl_toxicity, op7_nearest_centroid_language, op9_prefix_filtered_decontamination, op10_spotsigs_fingerprints)
+    found = (op1_raked_mixing, op2_prefix_target_chat, op3_ngram_jaccard_join, op4_sampled_splitters, op5_ranked_token_ids, op6_ftrl_toxicity, op7_nearest_centroid_language, op9_prefix_filtered_decontamination, op10_spotsigs_fingerprints)
     return {f.__name__: f for f in found}
 
 

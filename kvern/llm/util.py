@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+def fresh_path(spark: SparkSession) -> str:
+    """A new place under the shared folder."""
+    return f"{shared_dir(spark)}/kvern/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written as Parquet under the shared folder and read again: it cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/kvern/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = fresh_path(spark)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
