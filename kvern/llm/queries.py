@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvern.llm import chat_format, decontaminate, language_id, mixing, ngram_join, sharding, spotsigs, token_ids, toxicity
+from kvern.llm import chat_format, decontaminate, language_id, lm_score, mixing, ngram_join, sharding, spotsigs, token_ids, toxicity
 from kvern.llm.util import fresh_path, id_fold, written
 
 
@@ -66,6 +66,11 @@ def op7_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), wanted)
+
+
 def op9_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
@@ -80,7 +85,7 @@ def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_raked_mixing, op2_prefix_target_chat, op3_ngram_jaccard_join, op4_sampled_splitters, op5_ranked_token_ids, op6_ftrl_toxicity, op7_nearest_centroid_language, op9_prefix_filtered_decontamination, op10_spotsigs_fingerprints)
+    found = (op1_raked_mixing, op2_prefix_target_chat, op3_ngram_jaccard_join, op4_sampled_splitters, op5_ranked_token_ids, op6_ftrl_toxicity, op7_nearest_centroid_language, op8_cross_entropy_difference, op9_prefix_filtered_decontamination, op10_spotsigs_fingerprints)
     return {f.__name__: f for f in found}
 
 
