@@ -1,0 +1,9 @@
+"""The row types of the workbench."""
+
+from pyspark.sql import types as T
+
+TUPLE = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("payload", T.LongType(), False)])
+JOINED_TUPLE = T.StructType([T.StructField(c, T.LongType(), False) for c in ("id", "payload_a", "payload_b")])
+BOUNDARIES = T.StructType([T.StructField("partition", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
+PREFIX_SUMS = T.StructType([T.StructField("partition", T.IntegerType(), False), T.StructField("worker", T.IntegerType(), False), T.StructField("n", T.LongType(), False), T.StructField("offset", T.LongType(), False)])
+TIMING = T.StructType([T.StructField("parameters", T.MapType(T.StringType(), T.StringType()), False), *(T.StructField(c, T.LongType(), False) for c in ("partition", "build", "probe"))])
