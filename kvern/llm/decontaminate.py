@@ -17,8 +17,8 @@ from kvern.llm.util import written
 WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A run of word characters in a text as it stands, before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words in a text as it stands, before lower-casing.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows that are broadcast at most (about 200 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     spans = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     items = hits.select("doc_id", "text_key", "window").distinct().join(windows.select("window", "item_id"), "window").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     found = spans.select("doc_id", "text_key", F.array_sort("spans").alias("spans"), _covered().alias("n_hit"))
-    base = texts.select("doc_id", "text_key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).alias("d")
+    base = texts.select("doc_id", "text_key", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_SEPARATORS), "")).cast("long").alias("n_words")).alias("d")
 
     def same(side: str) -> Column:
         return F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col("d.text_key") == F.col(f"{side}.text_key"))
