@@ -100,6 +100,13 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = last
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to the next; a byte that the table has as 0 counts for nothing at the end of a run."""
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(table[data] * _power(_STEP, len(data)), starts)
+        return mix(sums * _power(_STEP_BACK, len(data))[starts])
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     """The words of the texts of one chunk."""
     lowered = _LOWERED[data]
@@ -111,10 +118,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     starts = np.flatnonzero(fresh)
     if not len(starts):
         return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), starts, data)
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[lowered] * _power(_STEP, len(data)), starts)
-        hashes = mix(sums * _power(_STEP_BACK, len(data))[starts])
-    return Words(hashes, np.searchsorted(starts, bounds), starts, data)
+    return Words(run_hashes(lowered, starts, _BYTE), np.searchsorted(starts, bounds), starts, data)
 
 
 def grams(w: Words, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:

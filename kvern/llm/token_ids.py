@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,158 +19,203 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kvern.llm import textvec
 from kvern.llm.util import in_arrow, partitions, written
 
 END = 0
 LEAST = -(1 << 63)
 #: Ids of a block, about (a longer document is a block of its own).
 BLOCK_IDS = 1 << 18
-#: Pieces of text whose ids a task remembers at most; then it starts anew.
-REMEMBERED = 600_000
+#: Pieces of text whose ids a worker remembers, about (50 bytes each); then it starts anew.
+REMEMBERED = 1_500_000
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
-_SPACES = re.compile(r"\s\s")
-_PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+_PLACE = np.arange(4)
+#: What a byte of a text is: part of a letter run, of a digit run, of a run of other signs, a blank, other white space, or such that the text goes to the library.
+_LETTER, _DIGIT, _SIGN, _BLANK, _SPACE, _OTHER = 1, 2, 3, 4, 5, 6
+#: Stands between pieces that go to the library together; no text that has it is taken apart.
+_BETWEEN = "\ue000"
+
+
+def _kinds() -> np.ndarray:
+    """Kinds of bytes; of non-ASCII characters only the Latin letters of two bytes from C3 on are told apart (but for the signs C3 97, C3 B7)."""
+    kind = np.full(256, _OTHER, np.uint8)
+    for b in range(128):
+        c = chr(b)
+        kind[b] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _BLANK if c == " " else _SPACE if c in "\t\n\v\f\r" else _SIGN if c.isprintable() and c != "'" else _OTHER
+    kind[0xC3] = _LETTER
+    kind[0x80:0xC0] = _LETTER  # after C3; see _taken_apart
+    return kind
+
+
+_KIND = _kinds()
+_BYTE = textvec.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks (below 2 ** 32)."""
-    v = ranks.astype(np.uint32)
-    size = 1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    v = ranks.astype("<u4")
+    size = (1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF)).astype(np.uint8)
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[: len(v)] = size - 1
     four = codes.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    at = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
-        has = size > k
-        data[at[has] + k] = v[has] >> 8 * k & 0xFF
+    width = int(size.max()) if len(v) else 1
+    data = v.view(np.uint8).reshape(-1, 4)[:, :width][_PLACE[:width] < size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of two streams; the lengths come from a table of all control bytes."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    raw = np.frombuffer(data, np.uint8)
-    out = raw[at].astype(np.uint32)
-    for k in range(1, 4):
-        has = np.flatnonzero(size > k)
-        out[has] |= raw[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    width = int(size.max()) if n else 1
+    out = np.zeros((n, 4), np.uint8)
+    low = np.zeros((n, width), np.uint8)
+    low[_PLACE[:width] < size[:, None]] = np.frombuffer(data, np.uint8)
+    out[:, :width] = low
+    return out.reshape(-1).view("<u4")
+
+
+def _apart(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether each text of a chunk is the sum of its runs of letters, digits, signs and single white space.
+
+    Not so with characters whose kind isn't known here, with an apostrophe, or with two white-space characters in a row.
+    """
+    kind = _KIND[data]
+    after_c3 = np.zeros(len(data), bool)
+    after_c3[1:] = data[:-1] == 0xC3
+    high = (data >= 0x80) & (data < 0xC0)
+    odd = (kind == _OTHER) | (high & ~after_c3) | (after_c3 & ((data == 0x97) | (data == 0xB7)))
+    white = (kind == _BLANK) | (kind == _SPACE)
+    odd[1:] |= white[1:] & white[:-1]
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    return seen[bounds[1:]] == seen[bounds[:-1]]
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces start in texts that can be taken apart: a run with the blank before it is one piece."""
+    kind = _KIND[data]
+    fresh = np.ones(len(data), bool)
+    fresh[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _SPACE)
+    fresh[1:] &= ~((kind[:-1] == _BLANK) & (kind[1:] != _SPACE))
+    fresh[bounds[:-1][bounds[:-1] < len(data)]] = True
+    return np.flatnonzero(fresh)
 
 
 class Encoder:
-    """A byte-level BPE tokenizer of the tokenizers library, with a memory of pieces.
+    """A tokenizer of the tokenizers library, with a memory of pieces where it is a plain byte-level BPE.
 
-    Such a tokenizer never joins a single blank between two words with what comes before it, so that a
-    text is the sum of its pieces between blanks; the library encodes each piece that isn't
-    remembered.  A text with two white-space characters in a row, or with one of the tokenizer's added
-    tokens, goes to the library whole, as does every text for tokenizers of other kinds.
+    Such a tokenizer cuts a text into runs of letters, of digits and of signs, each with one blank before it, and
+    encodes them one by one.  Most texts are cut here, all pieces of a chunk at once, and the library gets each
+    piece that isn't remembered (by a 64-bit hash).  A text whose cuts aren't plain, or with one of the
+    tokenizer's added tokens, goes to the library whole, as does every text for other tokenizers.
     """
 
     def __init__(self, path: str, end: int = END) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         pre, model = told.get("pre_tokenizer") or {}, told["model"]
-        self.by_piece = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        self.by_piece = told.get("normalizer") is None and told.get("post_processor") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         self.added = [t["content"] for t in told.get("added_tokens", [])]
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.end = end
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in plain]
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.single = Tokenizer.from_file(path)
+        self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(_BETWEEN, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[str, list[int]] = {}
-        self.first: dict[str, int] = {}
-        self.later = _Memory(self)
-        self.pool, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        self.fresh: list[list[int]] = []
-
-    def ids_of(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def part(self, piece: str) -> list[int]:
-        found = self.parts.get(piece)
-        if found is None:
-            found = self.parts[piece] = [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-        return found
-
-    def add(self, text: str) -> int:
-        """A new piece's place in the memory."""
-        pieces = _PIECES.findall(text)
-        if sum(map(len, pieces)) == len(text):
-            ids = [i for p in pieces for i in self.part(p)]
-        else:
-            ids = self.ids_of(text)
-        self.fresh.append(ids)
-        return len(self.size) + len(self.fresh) - 1
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remembers the ids of new pieces; hashes are sorted."""
+        ids, size = [self.pool], []
+        for at in range(0, len(pieces), 1000):
+            some = pieces[at : at + 1000]
+            got = self.single.encode(_BETWEEN.join(some), add_special_tokens=False)
+            ids.append(np.array(got.ids, self.dtype))
+            size.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
+        fresh = np.concatenate(size)
+        first = len(self.pool) + np.cumsum(fresh) - fresh
+        where = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, where, hashes)
+        self.place = np.insert(self.place, where, len(self.size) + np.arange(len(fresh)))
+        self.pool, self.start, self.size = np.concatenate(ids), np.concatenate([self.start, first]), np.concatenate([self.size, fresh])
+
+    def _by_piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that can be taken apart, and how many each has."""
+        starts = _pieces(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        hashes = textvec.run_hashes(data, starts, _BYTE)
+        once, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, once), max(len(self.known) - 1, 0))
+        fresh = self.known[at] != once if len(self.known) else np.ones(len(once), bool)
+        if fresh.any():
+            raw = data.tobytes()
+            self._learn(once[fresh], [raw[starts[i] : ends[i]].decode() for i in first[fresh]])
+            at = np.searchsorted(self.known, once)
+        place = self.place[at][where]
+        size = self.size[place]
+        to = np.cumsum(size)
+        ids = self.pool[np.arange(to[-1]) + np.repeat(self.start[place] - to + size, size)]
+        return ids, np.diff(np.concatenate([[0], to])[np.searchsorted(starts, bounds)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with an end id after each, and how many each has."""
-        if len(self.size) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.forget()
-        places: list[int] = []
-        counts: list[int] = []
-        for text in texts:
-            text = text or ""
-            if self.by_piece and not _SPACES.search(text) and not any(a in text for a in self.added):
-                first, *later = text.split(" ")
-                if first not in self.first:
-                    self.first[first] = self.add(first)
-                places.append(self.first[first])
-                places += map(self.later.__getitem__, later)
-                counts.append(len(later) + 1)
-            else:
-                self.fresh.append(self.ids_of(text))
-                places.append(len(self.size) + len(self.fresh) - 1)
-                counts.append(1)
-        if self.fresh:
-            self.pool = np.concatenate([self.pool, np.array([i for ids in self.fresh for i in ids], self.dtype)])
-            self.size = np.concatenate([self.size, [len(ids) for ids in self.fresh]])
-            self.fresh = []
-        start = np.cumsum(self.size) - self.size
-        at = np.array(places, np.int64)
-        size = self.size[at]
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        n = np.bincount(text_of, size, minlength=len(texts)).astype(np.int64) + 1
-        to = np.cumsum(size) - size + text_of  # every text before has an end id
-        out = np.full(int(n.sum()), self.end, self.dtype)
-        total = int(size.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + step] = self.pool[np.repeat(start[at], size) + step]
-        return out, n
-
-
-class _Memory(dict):
-    """Places of pieces after a blank."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> int:
-        place = self[piece] = self.encoder.add(" " + piece)
-        return place
+        every: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for first, last, data, bounds in textvec.chunks(texts):
+            apart = _apart(data, bounds) if self.by_piece else np.zeros(last - first, bool)
+            if self.added and any(a.encode() in (raw := data.tobytes()) for a in self.added):
+                apart &= np.array([not any(a.encode() in raw[lo:hi] for a in self.added) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)])
+            n = np.zeros(last - first, np.int64)
+            own = [np.zeros(0, self.dtype)] * 2
+            if apart.any() and len(data):
+                keep = np.repeat(apart, np.diff(bounds))
+                some = np.concatenate([[0], np.cumsum(np.diff(bounds)[apart])])
+                if some[-1]:
+                    own[0], n[apart] = self._by_piece(data[keep], some)
+            whole = [self.library.encode(texts[first + int(i)].as_py() or "", add_special_tokens=False).ids for i in np.flatnonzero(~apart)]
+            if whole:
+                own[1], n[~apart] = np.array([i for ids in whole for i in ids], self.dtype), [len(ids) for ids in whole]
+            to = np.cumsum(n + 1) - n - 1
+            out = np.full(int((n + 1).sum()), self.end, self.dtype)
+            for kind, ids in ((apart, own[0]), (~apart, own[1])):
+                size = n[kind]
+                out[np.arange(len(ids)) + np.repeat(to[kind] - np.cumsum(size) + size, size)] = ids
+            every.append(out)
+            counts.append(n + 1)
+        if not every:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        return np.concatenate(every), np.concatenate(counts)
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, end: int) -> Encoder:
+    """The worker's own encoder: it is kept from task to task, and its memory with it."""
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int = END, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): each document's ids with the end id, little-endian, 2 bytes each (4 for vocabularies over 65536)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end)
+        encoder = _encoder(tokenizer, end)
         for batch in batches:
             text = batch.column("text")
             for at in range(0, batch.num_rows, 256):
-                ids, n = encoder.encode(text.slice(at, 256).to_pylist())
+                ids, n = encoder.encode(text.slice(at, 256))
                 raw, width = ids.tobytes(), ids.itemsize
                 to = np.cumsum(n) * width
                 yield pa.record_batch([batch.column("doc_id").slice(at, 256), pa.array(n), pa.array([raw[b - k * width : b] for b, k in zip(to, n, strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -194,7 +238,7 @@ def ranks_of(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
 
     got = ids.select("ids").mapInArrow(count, "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).toPandas()
     times = np.zeros(vocabulary, np.int64)
-    times[got["id"]] = got["times"]
+    times[got["id"].to_numpy(np.int64)] = got["times"].to_numpy(np.int64)
     return np.lexsort((np.arange(vocabulary), -times)).astype(np.uint32)
 
 
