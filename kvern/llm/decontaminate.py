@@ -123,6 +123,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no window occurs."""
     hits = written(occurrences(keyed(docs, id_column, text_column), written(windows_of(benchmark))).select("doc_id", "text_key").distinct())
-    hits = hits.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
-    same = F.col(id_column).eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))) == F.col("__text_key"))
+    hits = hits.select(F.col("doc_id").alias("__kvern_doc_id"), F.col("text_key").alias("__kvern_text_key"))
+    same = F.col(id_column).eqNullSafe(F.col("__kvern_doc_id")) & (F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))) == F.col("__kvern_text_key"))
     return docs.join(F.broadcast(hits) if hits.count() <= BROADCAST_WINDOWS * 5 else hits, same, "left_anti")

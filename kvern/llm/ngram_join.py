@@ -347,11 +347,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     id_column = options.get("id_column", "doc_id")
     found = written(join_documents(docs, **options))
     least = F.lit(-(1 << 63))
-    picked = found.withColumn("__id", F.coalesce("doc_id", least)).where(F.col("__id") == F.col("class_id")).groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
+    picked = found.withColumn("__kvern_id", F.coalesce("doc_id", least)).where(F.col("__kvern_id") == F.col("class_id")).groupBy("__kvern_id").agg(F.count(F.lit(1)).alias("__kvern_n"))
     picked = written(picked)
-    if picked.where("__n = 1").count() <= BROADCAST_ROWS:
+    if picked.where("__kvern_n = 1").count() <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_column).cast("long"), least))
-    single = keyed.join(picked.where("__n = 1"), "__id", "left_semi")
-    again = keyed.join(picked.where("__n > 1"), "__id", "left_semi").dropDuplicates(["__id"])
+    keyed = docs.withColumn("__kvern_id", F.coalesce(F.col(id_column).cast("long"), least))
+    single = keyed.join(picked.where("__kvern_n = 1"), "__kvern_id", "left_semi")
+    again = keyed.join(picked.where("__kvern_n > 1"), "__kvern_id", "left_semi").dropDuplicates(["__kvern_id"])
     return single.unionByName(again).select(*docs.columns) if spark else docs

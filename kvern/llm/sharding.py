@@ -146,12 +146,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id"
 
     cells = ranged.groupBy(shard_at(F.col("h"), F.col("id")).alias("shard"), "range").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["shard", "range"])
     cells["first"] = cells.groupby("shard")["n"].cumsum() - cells["n"]
-    offsets = spark.createDataFrame(cells[["shard", "range", "first"]].astype("int64"), "shard int, __range int, __first long") if len(cells) else spark.createDataFrame([], "shard int, __range int, __first long")
-    keyed = docs.withColumn("__h", order_key(text)).withColumn("__id", id_).withColumn("__range", place("__h", "__id")).withColumn("shard", shard_at(F.col("__h"), F.col("__id")))
-    rank = F.row_number().over(Window.partitionBy("shard", "__range").orderBy("__h", "__id"))
+    offsets = spark.createDataFrame(cells[["shard", "range", "first"]].astype("int64"), "shard int, __kvern_range int, __kvern_first long") if len(cells) else spark.createDataFrame([], "shard int, __kvern_range int, __kvern_first long")
+    keyed = docs.withColumn("__kvern_h", order_key(text)).withColumn("__kvern_id", id_).withColumn("__kvern_range", place("__kvern_h", "__kvern_id")).withColumn("shard", shard_at(F.col("__kvern_h"), F.col("__kvern_id")))
+    rank = F.row_number().over(Window.partitionBy("shard", "__kvern_range").orderBy("__kvern_h", "__kvern_id"))
     # One row for each range that there is: a parameter's bound, not the data's.
-    numbered = keyed.withColumn("__rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "__range"])
-    return numbered.select(*docs.columns, "shard", (F.col("__first") + F.col("__rank") - 1).alias("slot"))
+    numbered = keyed.withColumn("__kvern_rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "__kvern_range"])
+    return numbered.select(*docs.columns, "shard", (F.col("__kvern_first") + F.col("__kvern_rank") - 1).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

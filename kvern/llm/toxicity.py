@@ -52,14 +52,16 @@ def _once(place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(examples: list[tuple[np.ndarray, int]], share: float | None = SHARE) -> Model:
     """The model for examples of (distinct places, label).
 
-    share: the part of label 1 that the classes are weighed to, None to take them as they come.  Without examples
-    of both labels, every text scores as the only label does.
+    share: the part of label 1 that the classes are weighed to, None to take them as they come.  With examples
+    of one label only, every text gets that label; without any, label 0.
     """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
     ones = sum(y for _, y in examples)
+    if ones in (0, len(examples)):
+        return Model(np.zeros(0, np.int64), np.zeros(0), 35.0 if ones else -35.0)
     cost = {0: 1.0, 1: 1.0}
-    if share is not None and 0 < ones < len(examples):
+    if share is not None:
         cost = {1: share * len(examples) / ones, 0: (1 - share) * len(examples) / (len(examples) - ones)}
 
     def weight(at: np.ndarray) -> np.ndarray:
