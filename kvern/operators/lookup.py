@@ -21,3 +21,10 @@ def get_first(keys: DataFrame, table: DataFrame, key: str = "id", payload: str =
 def get_all(keys: DataFrame, table: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
     """A row for each key and each of its rows in `table`; rows, not lists, so that a frequent key stays divisible."""
     return keys.join(table.select(key, payload), key)
+
+
+def bucket_count(rows: int, ratio: float = 1.25) -> int:
+    """Buckets that a table of so many rows would be given at a ratio; Spark sizes its own tables, so this is for reports."""
+    if rows < 0 or not ratio > 0:
+        raise ValueError("rows: not below 0; ratio: above 0")
+    return -int(-(rows * ratio) // 1)

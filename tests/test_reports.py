@@ -89,3 +89,14 @@ def test_streamed_probe(spark, tmp_path):
     assert spark.table("matches").count() == 50
     with pytest.raises(ValueError):
         streamed_matches(build, build)
+
+
+def test_sweep_command(spark, tmp_path):
+    from kvern.operators.lookup import bucket_count
+    from kvern.sweep import main as sweep_main
+
+    assert sweep_main(["-p", str(tmp_path), "--primary", "20", "--secondary", "200", "--partitions", "2", "4"]) == 0
+    lines = (tmp_path / "figure.dat").read_text().split("\n")
+    assert lines[0] == "Phase NoPartitioning Radix2 Radix4" and [x.split()[0] for x in lines[1:4]] == ["Partition", "Build", "Probe"]
+    assert sorted(p.name for p in tmp_path.glob("*.txt")) == ["partitions_1.txt", "partitions_2.txt", "partitions_4.txt"]
+    assert [bucket_count(n) for n in (0, 1, 10)] == [0, 2, 13] and bucket_count(10, 0.25) == 3
