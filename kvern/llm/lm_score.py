@@ -30,6 +30,8 @@ DISCOUNT, ADDED = 0.75, 0.5
 BITS = 18
 ALL = (1 << BITS) - 1
 UNKNOWN = 0
+#: Keys that a task sorts at once, about.
+KEYS_AT_ONCE = 1 << 20
 #: Rows of target ids that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 1 << 20
 
@@ -62,8 +64,23 @@ def histories(w: textvec.Words, ids: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
+def _added(key: np.ndarray, target: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with the sums of its counts."""
+    order = np.argsort(key)
+    key = key[order]
+    cut = runs(key)[:-1]
+    if not len(key):
+        return key, target.astype(np.int64), every.astype(np.int64)
+    return key[cut], np.add.reduceat(target[order].astype(np.int64), cut), np.add.reduceat(every[order].astype(np.int64), cut)
+
+
+def _tally(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, own = (np.concatenate(x) for x in zip(*held, strict=True))
+    return _added(key, own, np.ones(len(key), np.int8))
+
+
 def _counts(docs: DataFrame, keys) -> DataFrame:
-    """(key, target, background) for all keys that come up twice or more; keys(words) gives those of a chunk and their texts.
+    """(key, target, background) for all keys that come up twice or more; keys(words) gives those of a chunk with their texts, in parts.
 
     docs: text, wanted.  Each task adds up what it has and deals it, packed, to ranges of hashed keys.
     """
@@ -71,21 +88,26 @@ def _counts(docs: DataFrame, keys) -> DataFrame:
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         wanted = numbers(batch.column("wanted"), "?")
-        got: list[tuple[np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for first, last, data, bounds in textvec.chunks(batch.column("text")):
-            key, row = keys(textvec.words(data, bounds))
-            got.append((key, wanted[first:last][row]))
-        if not got:
+            for key, row in keys(textvec.words(data, bounds)):
+                held.append((key, wanted[first:last][row]))
+                size += len(key)
+            if size > KEYS_AT_ONCE:
+                done.append(_tally(held))
+                held, size = [], 0
+        done += [_tally(held)] if held else []
+        if not done:
             return
-        key, own = (np.concatenate(x) for x in zip(*got, strict=True))
-        key, where = np.unique(key, return_inverse=True)
-        every = np.bincount(where, minlength=len(key)).astype("<u4")
-        target = np.bincount(where, own, minlength=len(key)).astype("<u4")
+        key, target, every = _added(*(np.concatenate(x) for x in zip(*done, strict=True)))
+        del done
         part = textvec.mix(key.view(np.uint64)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         keep = np.flatnonzero(np.diff(cut))
-        packed = [[x[order][cut[p] : cut[p + 1]].tobytes() for p in keep] for x in (key, target, every)]
+        packed = [[x[order[cut[p] : cut[p + 1]]].tobytes() for p in keep] for x in (key, target.astype("<u4"), every.astype("<u4"))]
         yield pa.record_batch([pa.array(keep, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "key", "target", "background"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +116,7 @@ def _counts(docs: DataFrame, keys) -> DataFrame:
             packed = [table[c].to_pylist() for c in ("key", "target", "background")]
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 key, target, every = (np.frombuffer(b"".join(x[lo:hi]), t) for x, t in zip(packed, ("<i8", "<u4", "<u4"), strict=True))
-                key, where = np.unique(key, return_inverse=True)
-                target, every = (np.bincount(where, x, minlength=len(key)).astype(np.int64) for x in (target, every))
+                key, target, every = _added(key, target, every)
                 often = every > 1
                 yield pa.record_batch([pa.array(key[often]), pa.array(target[often]), pa.array(every[often])], ["key", "target", "background"])
 
@@ -112,30 +133,30 @@ def _most(counts: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
     least = int(fits["c"].min()) if len(fits) else None
     if least is None:
         return np.zeros(0, np.int64), np.zeros((2, 0))
-    got = counts.where(F.col("background") >= least).toPandas().sort_values("key")
-    return got["key"].to_numpy(np.int64), got[["target", "background"]].to_numpy(np.float64).T
+    got = counts.where(F.col("background") >= least).toArrow()
+    key = got["key"].to_numpy()
+    order = np.argsort(key)
+    return key[order], np.stack([got[c].to_numpy()[order].astype(np.float32) for c in ("target", "background")])
 
 
 def train(docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
     """The two models from docs (text, wanted); target: where `wanted` holds, background: all."""
-    key, _ = _most(_counts(docs, lambda w: (w.hashes.view(np.int64), w.row())), vocabulary)
+    key, _ = _most(_counts(docs, lambda w: [(w.hashes.view(np.int64), w.row())]), vocabulary)
     hashes = np.sort(key.view(np.uint64))
     start, shared = len(hashes) + 1, docs.sparkSession.sparkContext.broadcast(hashes)
 
-    def pairs(w: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(w: textvec.Words) -> list[tuple[np.ndarray, np.ndarray]]:
         ids, row = word_ids(shared.value, w.hashes), w.row()
         before = histories(w, ids, start)
-        return np.concatenate([before << BITS | ids, before << BITS | ALL, np.full(len(ids), ALL << BITS, np.int64) | ids]), np.concatenate([row, row, row])
+        return [(before << BITS | ids, row), (before << BITS | ALL, row), (ids | ALL << BITS, row)]
 
     all_pairs = _counts(docs, pairs)
-    sums = all_pairs.where((F.col("key").bitwiseAND(ALL) == ALL) | (F.shiftright("key", BITS) == ALL)).toPandas()  # two rows for each word at most
+    sums = all_pairs.where((F.col("key").bitwiseAND(ALL) == ALL) | (F.shiftright("key", BITS) == ALL)).toArrow()  # two rows for each word at most
     kept, joint = _most(all_pairs.where((F.col("key").bitwiseAND(ALL) != ALL) & (F.shiftright("key", BITS) != ALL)), bigrams)
     after, single = np.zeros((2, start + 1)), np.zeros((2, start + 1))
-    for k, *c in sums.to_numpy(np.int64):
-        if k >> BITS == ALL:
-            single[:, k & ALL] = c
-        else:
-            after[:, k >> BITS] = c
+    key, count = sums["key"].to_numpy(), np.stack([sums[c].to_numpy() for c in ("target", "background")])
+    word = key >> BITS == ALL
+    single[:, key[word] & ALL], after[:, key[~word] >> BITS] = count[:, word], count[:, ~word]
     return model_of(hashes, single, kept, joint, after)
 
 
@@ -147,7 +168,7 @@ def model_of(hashes: np.ndarray, single: np.ndarray, pairs: np.ndarray, joint: n
     """
     tokens = single.sum(1)
     scale = np.array([1.0, tokens[0] / tokens[1] if tokens[1] else 1.0])[:, None]
-    single, joint, after = single * scale, joint * scale, after * scale
+    single, joint, after = single * scale, joint * scale.astype(joint.dtype), after * scale
     plain = single + ADDED
     plain[:, -1] = 0  # the start is never a word
     plain /= plain.sum(1, keepdims=True)
@@ -155,7 +176,7 @@ def model_of(hashes: np.ndarray, single: np.ndarray, pairs: np.ndarray, joint: n
     with np.errstate(divide="ignore", invalid="ignore"):
         given = np.where(after[:, before] > 0, np.maximum(joint - DISCOUNT, 0) / after[:, before], 0.0)
     rest = np.stack([1 - np.bincount(before, g, minlength=single.shape[1]) for g in given])
-    return Model(hashes, plain, pairs, given, np.maximum(rest, 1e-9))
+    return Model(hashes, plain, pairs, given.astype(np.float32), np.maximum(rest, 1e-9))
 
 
 def losses(model: Model, w: textvec.Words) -> np.ndarray:
