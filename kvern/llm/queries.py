@@ -157,5 +157,43 @@ FROM r GROUP BY conv_id
 """
 
 
+#: Sets of five-word shingles (a shorter text is one shingle), pairs by shared shingles, classes by following links.
+_OP3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, s + 1, s + 5) AS v FROM d, LATERAL (SELECT unnest(range(greatest(len(w) - 4, 1))) AS s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.v = b.v AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b, met = x.n AND met = y.n AS same FROM met JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 5 * met >= 4 * (x.n + y.n - met)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1)
+SELECT a AS doc_id, class_id, least(a, coalesce((SELECT min(b) FROM link WHERE link.a = class.a AND same), a)) AS copy_id,
+       (SELECT count(*) FROM link WHERE link.a = class.a) AS n_links FROM class
+"""
+
+
+def _crc32_table() -> list[int]:
+    """The 256 steps of CRC-32, from its polynomial."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ 0xEDB88320 if x & 1 else x >> 1 for x in out]
+    return out
+
+
+#: Rows in the order (60 bits of MD5, id); cuts where the middle of a row passes k / 16 of all bytes, moved to the nearer side of a small group of equal texts.
+_OP4 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+c AS (SELECT *, CAST(sum(size) OVER (ORDER BY h, doc_id) AS BIGINT) - size AS start, (SELECT CAST(sum(size) AS BIGINT) FROM d) AS total FROM d),
+g AS (SELECT h, min(start) AS lo, CAST(sum(size) AS BIGINT) AS bytes, any_value(total) AS total FROM c GROUP BY 1),
+first AS (SELECT k, min(row(h, doc_id)) AS key FROM c, range(1, 16) r(k) WHERE (2 * start + size) * 16 // (2 * total) >= k GROUP BY 1),
+cut AS (SELECT CASE WHEN bytes > 0.01 * total / 16 OR 2 * lo + bytes >= 2 * k * total // 16 THEN h ELSE h + 1 END AS ch,
+               CASE WHEN bytes > 0.01 * total / 16 THEN key[2] ELSE -9223372036854775808 END AS cid FROM first JOIN g ON h = key[1]),
+placed AS (SELECT *, CAST((SELECT count(*) FROM cut WHERE h > ch OR (h = ch AND doc_id >= cid)) AS INTEGER) AS shard FROM c),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(x)), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT))),
+               lambda y, z: xor(y >> 8, (CAST({_crc32_table()} AS BIGINT[]))[xor(y & 255, z) + 1])), 4294967295) AS text_crc32 FROM d)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed JOIN crc USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_raked_mixing": _OP1, "op2_prefix_target_chat": _OP2, "op9_prefix_filtered_decontamination": _OP9}
+    return {"op3_ngram_jaccard_join": _OP3, "op4_sampled_splitters": _OP4, "op1_raked_mixing": _OP1, "op2_prefix_target_chat": _OP2, "op9_prefix_filtered_decontamination": _OP9}
