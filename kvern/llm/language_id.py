@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import id_fold, in_arrow, written
+from kvern.llm.util import id_fold, in_arrow, mapped, written
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
@@ -134,7 +134,7 @@ def train(docs: DataFrame, usable: Column | None = None, lang: str = "lang", tex
                 df, n = df + (tf > 0).sum(0), n + len(tf)
         yield pa.record_batch([pa.array(np.arange(DIMENSIONS)), pa.array(df), pa.array(np.full(DIMENSIONS, n))], ["place", "df", "n"])
 
-    df = sample.select("tf").mapInArrow(document_frequency, "place long, df long, n long").groupBy("place").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).toPandas().sort_values("place")
+    df = mapped(sample.select("tf"), document_frequency, "place long, df long, n long").groupBy("place").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).toPandas().sort_values("place")
     idf = (np.log((1 + df["n"]) / (1 + df["df"])) + 1).to_numpy(np.float32) if len(df) else np.ones(DIMENSIONS, np.float32)
 
     def centroids(table: pa.Table) -> pa.Table:
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", reject: b
         langs = [UNKNOWN if reject and r else x for x, r in zip(langs, far, strict=True)]
         return pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(far)], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.select(*rest).mapInArrow(lambda batches: (run(b) for b in batches), schema)
+    return in_arrow(docs.select(*rest), run, schema)
 
 
 def outside_fold(id_column: str = "doc_id") -> Column:

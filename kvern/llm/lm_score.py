@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import in_arrow, numbers, partitions, runs, streamed, written
+from kvern.llm.util import in_arrow, mapped, numbers, partitions, runs, streamed, written
 
 #: Entries of the models at most (16 and 24 bytes each).
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 20
@@ -30,8 +30,8 @@ DISCOUNT, ADDED = 0.75, 0.5
 BITS = 18
 ALL = (1 << BITS) - 1
 UNKNOWN = 0
-#: Keys that a task sorts at once, about.
-KEYS_AT_ONCE = 1 << 20
+#: Different keys that a task holds before it deals them out, about (24 bytes each).
+KEYS_AT_ONCE = 3 << 20
 #: Rows of target ids that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 1 << 20
 
@@ -86,29 +86,29 @@ def _counts(docs: DataFrame, keys) -> DataFrame:
     """
     parts = 4 * partitions(docs.sparkSession)
 
-    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        wanted = numbers(batch.column("wanted"), "?")
-        done: list[tuple[np.ndarray, ...]] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for first, last, data, bounds in textvec.chunks(batch.column("text")):
-            for key, row in keys(textvec.words(data, bounds)):
-                held.append((key, wanted[first:last][row]))
-                size += len(key)
-            if size > KEYS_AT_ONCE:
-                done.append(_tally(held))
-                held, size = [], 0
-        done += [_tally(held)] if held else []
-        if not done:
-            return
+    def packed(done: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, target, every = _added(*(np.concatenate(x) for x in zip(*done, strict=True)))
-        del done
         part = textvec.mix(key.view(np.uint64)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         keep = np.flatnonzero(np.diff(cut))
-        packed = [[x[order[cut[p] : cut[p + 1]]].tobytes() for p in keep] for x in (key, target.astype("<u4"), every.astype("<u4"))]
-        yield pa.record_batch([pa.array(keep, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "key", "target", "background"])
+        out = [[x[order[cut[p] : cut[p + 1]]].tobytes() for p in keep] for x in (key, target.astype("<u4"), every.astype("<u4"))]
+        return pa.record_batch([pa.array(keep, pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["part", "key", "target", "background"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            wanted = numbers(batch.column("wanted"), "?")
+            for first, last, data, bounds in textvec.chunks(batch.column("text")):
+                done.append(_tally([(key, wanted[first:last][row]) for key, row in keys(textvec.words(data, bounds))]))
+                if sum(len(x[0]) for x in done) > KEYS_AT_ONCE:
+                    if len(done) == 1 or len(done[0][0]) > KEYS_AT_ONCE // 2:  # adding up no longer makes it less
+                        yield packed(done)
+                        done = []
+                    else:
+                        done = [_added(*(np.concatenate(x) for x in zip(*done, strict=True)))]
+        if done:
+            yield packed(done)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in streamed(batches, "part"):
@@ -120,9 +120,9 @@ def _counts(docs: DataFrame, keys) -> DataFrame:
                 often = every > 1
                 yield pa.record_batch([pa.array(key[often]), pa.array(target[often]), pa.array(every[often])], ["key", "target", "background"])
 
-    dealt = in_arrow(docs.select("text", "wanted"), deal, "part int, key binary, target binary, background binary")
+    dealt = mapped(docs.select("text", "wanted"), deal, "part int, key binary, target binary, background binary")
     dealt = dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
-    return written(dealt.mapInArrow(merge, "key long, target long, background long"))
+    return written(mapped(dealt, merge, "key long, target long, background long"))
 
 
 def _most(counts: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:

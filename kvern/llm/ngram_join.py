@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import components, in_arrow, labels_of, numbers, partitions, runs, streamed, written
+from kvern.llm.util import components, in_arrow, labels_of, mapped, numbers, partitions, runs, streamed, written
 
 HASHES = 64
 STEP = 8
 #: Classes of a unit for MinHash values and for whole sets.
 BLOCK, VERIFY_BLOCK = 512, 256
+#: Shingles of a block's sets, about.
+VERIFY_SHINGLES = 1 << 18
 #: A shingle of at least so many documents has a place of its own in the order; of those, so many at most are held (16 bytes each), the most frequent.
 FREQUENT, FREQUENT_HELD = 64, 1 << 18
 #: Rows that are broadcast at most (16 bytes each); beyond, the join shuffles.
@@ -136,7 +138,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.record_batch([pa.array(value[often], pa.int64()), pa.array(times[often], pa.int64())], ["value", "times"])
 
     dealt = in_arrow(docs.select("text"), deal, "part int, have binary").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
-    most = dealt.mapInArrow(count, "value long, times long").orderBy(F.desc("times"), "value").limit(FREQUENT_HELD).toPandas().sort_values("value")
+    most = mapped(dealt, count, "value long, times long").orderBy(F.desc("times"), "value").limit(FREQUENT_HELD).toPandas().sort_values("value")
     return most["value"].to_numpy(np.uint32), most["times"].to_numpy(np.int64)
 
 
@@ -208,7 +210,7 @@ def _units(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                     yield pa.record_batch([pa.array(unit[at:to].view(np.int64)), pa.array(side[at:to], pa.int32()), pa.array(key[at:to])], ["unit", "side", "key"])
 
     dealt = in_arrow(docs.select("text"), deal, "part int, unit binary, side binary, key binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "unit long, side int, key long")
+    return mapped(dealt, meet, "unit long, side int, key long")
 
 
 def _survivors(units: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -245,13 +247,13 @@ def _survivors(units: DataFrame, classes: DataFrame, threshold: float, tolerance
 
     have = units.join(classes.select("key", "size", "sig"), "key")
     dealt = have.repartition(partitions(units.sparkSession), "unit").sortWithinPartitions("unit", "side")
-    return dealt.mapInArrow(prune, "a long, b long").distinct()
+    return mapped(dealt, prune, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int, threshold: float) -> DataFrame:
     """(key, links, other): how many documents of other classes a class is linked to, in one unit each; other: a spanning forest of the links."""
     spark = docs.sparkSession
-    members = written(families.select(F.col("node").alias("key"), "root").join(classes.select("key", "id", "copies"), "key"))
+    members = written(families.select(F.col("node").alias("key"), "root").join(classes.select("key", "id", "copies", "size"), "key"))
     wanted = members.select("id", "key")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -266,8 +268,8 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int,
             yield pa.record_batch([asked.take(pa.array(keep)), pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in keep], pa.binary())], ["key", "have"])
 
     sets = in_arrow(docs.join(wanted, "id").select("key", "text"), tokens, "key long, have binary")
-    many = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    placed = members.join(many, "root").withColumn("blocks", F.ceil(F.col("n") / VERIFY_BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
+    many = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK), F.ceil(F.sum("size") / VERIFY_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.select("root", "key", "copies").join(many, "root").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
@@ -288,7 +290,7 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int,
                 yield pa.record_batch([pa.array(own[keep]), pa.array(links[keep], pa.int64()), pa.array(own[root[keep]])], ["key", "links", "other"])
 
     dealt = rows.repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(verify, "key long, links long, other long")
+    return mapped(dealt, verify, "key long, links long, other long")
 
 
 def _unit_links(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Texts are taken together until they have so many bytes; a longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import in_arrow, partitions, written
+from kvern.llm.util import in_arrow, mapped, partitions, written
 
 END = 0
 LEAST = -(1 << 63)
@@ -221,7 +221,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END, id_column: str = "d
                 yield pa.record_batch([batch.column("doc_id").slice(at, 256), pa.array(n), pa.array([raw[b - k * width : b] for b, k in zip(to, n, strict=True)], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     read = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias("doc_id"), F.col(text_column).alias("text"))
-    return read.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return mapped(read, run, "doc_id long, n_tokens long, ids binary")
 
 
 def ranks_of(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
@@ -236,7 +236,7 @@ def ranks_of(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
         seen = np.flatnonzero(times)
         yield pa.record_batch([pa.array(seen), pa.array(times[seen])], ["id", "times"])
 
-    got = ids.select("ids").mapInArrow(count, "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).toPandas()
+    got = mapped(ids.select("ids"), count, "id long, times long").groupBy("id").agg(F.sum("times").alias("times")).toPandas()
     times = np.zeros(vocabulary, np.int64)
     times[got["id"].to_numpy(np.int64)] = got["times"].to_numpy(np.int64)
     return np.lexsort((np.arange(vocabulary), -times)).astype(np.uint32)
@@ -278,7 +278,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col
             yield out()
 
     dealt = ids.repartitionByRange(partitions(spark), "doc_id", "n_tokens").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(blocks, "part int, block int, n_docs long, n_tokens long, doc_ids binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
+    mapped(dealt, blocks, "part int, block int, n_docs long, n_tokens long, doc_ids binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame([(int(k), int(i)) for k, i in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import id_fold, in_arrow
+from kvern.llm.util import bounded_batches, give_back, id_fold, in_arrow
 
 BITS = 20
 FOLDS = 5
@@ -118,23 +118,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
             yield pa.record_batch([batch.column("id").slice(first, last - first), batch.column("y").slice(first, last - first), pa.array([place[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["id", "y", "places"])
 
     kind = docs.select(id_column).dtypes[0][1]
-    got = in_arrow(texts, run, f"id {kind}, y int, places binary").toPandas().sort_values(["id", "places"])
-    examples = [(np.frombuffer(p, "<u4"), int(y)) for p, y in zip(got["places"], got["y"], strict=True)]
-    return fit(examples)
+    got = in_arrow(texts, run, f"id {kind}, y int, places binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    examples = [(np.frombuffer(p.as_buffer(), "<u4"), y.as_py()) for p, y in zip(got["places"], got["y"], strict=True)]
+    model = fit(examples)
+    del got, examples
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, text_column: str = "text", into: str = "score") -> DataFrame:
     """All rows and columns of docs, and `score`: 0 to 1, the chance of label 1.  A null text counts as empty; an empty one scores by the intercept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != into]
-    schema = docs.select(*rest).schema.add(into, "double")
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = batch.schema.get_field_index(text_column)
-        got = [scores(shared.value, data, bounds) for _, _, data, bounds in textvec.chunks(batch.column(at))]
-        score = np.concatenate(got) if got else np.zeros(0)
-        yield pa.record_batch([*batch.columns, pa.array(score)], [*batch.schema.names, into])
-
-    return docs.select(*rest).mapInArrow(lambda batches: (x for b in batches for x in run(b)), schema)
+    bounded_batches(docs.sparkSession)
 
+    # Only the texts go to Python, and only scores come back.
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(scores(shared.value, data, bounds) for _, _, data, bounds in textvec.chunks(texts))]))
 
+    return docs.withColumn(into, score(text_column))

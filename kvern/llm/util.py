@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Rows and bytes of an Arrow batch at most (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """A new place under the shared folder."""
-    return f"{shared_dir(spark)}/kvern/{uuid.uuid4().hex}"
+    """A new place in this session's folder under the shared one."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kvern-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written in this session; results that aren't stored elsewhere can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -76,10 +92,42 @@ def runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
 
 
-def in_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch; what it returns may be one batch or several."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers what a Python worker gets at once to BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more: texts can be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is not None and (not now.isdigit() or int(now) <= 0 or int(now) > most):
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept, several stand idle beside those that run, and a driver lives long."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def mapped(df: DataFrame, f: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """mapInArrow with bounded batches; the worker gives memory back after each task."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def in_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Batches | pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """`mapped` for a function of one batch; what it returns may be one batch or several."""
+
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             out = f(batch)
             if isinstance(out, pa.RecordBatch):
@@ -87,7 +135,7 @@ def in_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatc
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def labels_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -128,4 +176,5 @@ def components(edges: DataFrame) -> DataFrame:
         moved = fresh.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
         state = fresh
         if not moved:
+            give_back()
             return state
