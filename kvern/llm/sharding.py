@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from kvern.llm.util import written
 
 LEAST = -(1 << 63)
-#: Ranges for each shard at least, and bytes of a range at most (as far as records are small).
-RANGES, RANGE_BYTES = 32, 128 << 20
+#: Ranges for each shard at least; bytes of a range, about, as long as there are no more than RANGES_MOST of them (their sums reach the driver).
+RANGES, RANGE_BYTES, RANGES_MOST = 32, 128 << 20, 1 << 16
 #: Keys drawn for each range.
 DRAWS = 32
 #: A range with more than so many times its share is subdivided, in so many rounds at most.
@@ -133,7 +133,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id"
     id_, text = F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)), F.col(text_column)
     keys = written(docs.select(order_key(text).alias("h"), id_.alias("id"), size_of(text).alias("size")))
     total = keys.agg(F.sum("size")).first()[0] or 0
-    ranges = max(RANGES * shards, -(-total // RANGE_BYTES))
+    ranges = max(RANGES * shards, min(-(-total // RANGE_BYTES), RANGES_MOST))
     splitters = _splitters(keys, total, ranges) if total else pd.DataFrame({"h": [], "id": []})
     place = _range_of(splitters)
     ranged = keys.withColumn("range", place("h", "id"))
@@ -149,7 +149,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id"
     offsets = spark.createDataFrame(cells[["shard", "range", "first"]].astype("int64"), "shard int, __kvern_range int, __kvern_first long") if len(cells) else spark.createDataFrame([], "shard int, __kvern_range int, __kvern_first long")
     keyed = docs.withColumn("__kvern_h", order_key(text)).withColumn("__kvern_id", id_).withColumn("__kvern_range", place("__kvern_h", "__kvern_id")).withColumn("shard", shard_at(F.col("__kvern_h"), F.col("__kvern_id")))
     rank = F.row_number().over(Window.partitionBy("shard", "__kvern_range").orderBy("__kvern_h", "__kvern_id"))
-    # One row for each range that there is: a parameter's bound, not the data's.
+    # A row for each range and shard: bounded by RANGES_MOST and the overfull ranges' pieces, which are no more.
     numbered = keyed.withColumn("__kvern_rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "__kvern_range"])
     return numbered.select(*docs.columns, "shard", (F.col("__kvern_first") + F.col("__kvern_rank") - 1).alias("slot"))
 

@@ -27,8 +27,8 @@ ANCHORS = (
     "con del el es las lo los no para por se su una y"
 ).split()
 LEAST = -(1 << 63)
-#: Rows of a range of ids, about.
-RANGE_ROWS = 10_000
+#: Rows of a range of ids, about, as long as there are no more than RANGES of them; ranges are sorted on disk where they are larger.
+RANGE_ROWS, RANGES = 10_000, 1 << 14
 
 
 def signatures(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -96,13 +96,13 @@ def with_next(docs: DataFrame, carried: list[str], id_column: str, key: str) ->
     spark = docs.sparkSession
     order = F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST))
     n = docs.count()
-    pieces = max(1, n // RANGE_ROWS)
+    pieces = max(1, min(n // RANGE_ROWS, RANGES))
     bounds: list[int] = []
     if pieces > 1:
         at = [k / pieces for k in range(1, pieces)]
         bounds = sorted(set(docs.select(order.alias("id")).agg(F.percentile_approx("id", at, 20 * pieces)).first()[0]))
     placed = docs.withColumn("__id", order).withColumn("__range", _bucket(F.col("__id"), bounds)).withColumn("__lent", F.lit(False))
-    # A row for each range: bounded by the number of rows over RANGE_ROWS.
+    # A row for each range: RANGES at most.
     heads = [tuple(r) for r in placed.groupBy("__range").agg(F.max(F.struct("__id", F.col(key).alias("k"))).alias("x")).select("__range", "x.__id", "x.k").orderBy("__range").collect()]
     if not heads:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
