@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
 from kvern.llm.util import components, in_arrow, labels_of, mapped, numbers, partitions, runs, streamed, written
 
+LEAST = -(1 << 63)
 HASHES = 64
 STEP = 8
 #: Classes of a unit for MinHash values and for whole sets.
@@ -92,7 +93,7 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, n: int) -> DataFrame:
-    """id, key (null where a text has no word), size, signature of every document."""
+    """id, text_key, key (null where a text has no word), size, signature of every document."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, data, bounds in textvec.chunks(batch.column("text")):
@@ -102,9 +103,10 @@ def _documents(docs: DataFrame, n: int) -> DataFrame:
             if len(row):
                 cut = runs(row)
                 sig[row[cut[:-1]]] = signatures(hashes, cut)
-            yield pa.record_batch([batch.column("id").slice(first, last - first), pa.array(key, mask=size == 0), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "key", "size", "sig"])
+            same = [batch.column(c).slice(first, last - first) for c in ("id", "text_key")]
+            yield pa.record_batch([*same, pa.array(key, mask=size == 0), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "text_key", "key", "size", "sig"])
 
-    return in_arrow(docs, run, "id long, key long, size long, sig binary")
+    return in_arrow(docs, run, "id long, text_key long, key long, size long, sig binary")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -317,19 +319,11 @@ def _unit_links(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, th
     return linked @ copies, a, b
 
 
-def join_documents(docs: DataFrame, threshold: float = 0.8, n: int = textvec.SHINGLE, tolerance: float = 1e-6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id, copy_id, n_links.
-
-    class_id: the least id of the documents that links lead to from this one; copy_id: the least id of the
-    documents with the same set of shingles; n_links: the other documents whose similarity is
-    `threshold` or more, copies included.  A null text and a text without a word have no link and are classes
-    of their own.  A null id counts as the least long, in class_id too, and comes back as null in doc_id.
-    Repeated rows are copies of each other.  Other columns are not read.
-    """
+def _classified(docs: DataFrame, threshold: float, n: int, tolerance: float, id_column: str, text_column: str) -> DataFrame:
+    """(id, text_key, root, class_id, copy_id, n_links) of each row; root: the group's key, null for a text without a word."""
     if not math.isfinite(threshold) or not 0 < threshold <= 1:
         raise ValueError("threshold: above 0, 1 at most")
-    least = F.lit(-(1 << 63))
-    read = docs.select(F.coalesce(F.col(id_column).cast("long"), least).alias("id"), F.col(text_column).alias("text"))
+    read = docs.select(*_keyed(id_column, text_column), F.col(text_column).alias("text"))
     own = written(_documents(read, n))
     classes = written(own.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     families = components(written(_survivors(_units(read, n, threshold), classes, threshold, tolerance)))
@@ -338,22 +332,44 @@ def join_documents(docs: DataFrame, threshold: float = 0.8, n: int = textvec.SHI
     roots = components(links.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
     rooted = classes.select("key", "id", "copies").join(roots, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
     first = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
-    known = rooted.join(first, "root").select("key", "class_id", F.col("id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = own.select("id", "key").join(known, "key", "left")
-    return out.select(F.when(F.col("id") != least, F.col("id")).alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = rooted.join(first, "root").select("key", "root", "class_id", F.col("id").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = own.select("id", "text_key", "key").join(known, "key", "left")
+    return out.select("id", "text_key", "root", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The columns of docs, with the one document of each class that has the least id (of repeated rows, one)."""
-    spark = docs.sparkSession
-    id_column = options.get("id_column", "doc_id")
-    found = written(join_documents(docs, **options))
-    least = F.lit(-(1 << 63))
-    picked = found.withColumn("__kvern_id", F.coalesce("doc_id", least)).where(F.col("__kvern_id") == F.col("class_id")).groupBy("__kvern_id").agg(F.count(F.lit(1)).alias("__kvern_n"))
-    picked = written(picked)
-    if picked.where("__kvern_n = 1").count() <= BROADCAST_ROWS:
+def _keyed(id_column: str, text_column: str, prefix: str = "") -> tuple[Column, Column]:
+    """What tells documents apart: the id (null: LEAST) and a hash of the text."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)).alias(f"{prefix}id"), F.xxhash64(text).alias(f"{prefix}text_key")
+
+
+def join_documents(docs: DataFrame, threshold: float = 0.8, n: int = textvec.SHINGLE, tolerance: float = 1e-6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each document: doc_id, class_id, copy_id, n_links.
+
+    class_id: the least id of the documents that links lead to from this one; copy_id: the least id of the
+    documents with the same set of shingles; n_links: the other documents whose similarity is
+    `threshold` or more, copies included.  A null text and a text without a word have no link and are classes
+    of their own.  A null id counts as the least long, in class_id too, and comes back as null in doc_id.
+    Repeated rows are copies of each other.  Other columns are not read.
+    """
+    found = _classified(docs, threshold, n, tolerance, id_column, text_column)
+    return found.select(F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), "class_id", "copy_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = textvec.SHINGLE, tolerance: float = 1e-6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The columns of docs, with one document of each group that links connect: the one with the least id.
+
+    Of repeated rows one stays, also where their text has no word; different texts under one id are different
+    documents.
+    """
+    found = _classified(docs, threshold, n, tolerance, id_column, text_column)
+    told = found.groupBy("root", "id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.when(F.col("root").isNull(), F.struct("id", "text_key"))
+    picked = told.groupBy("root", alone.alias("alone")).agg(F.min(F.struct("id", "text_key", "n")).alias("x"))
+    picked = written(picked.select(*(F.col(f"x.{c}").alias(f"__kvern_{c}") for c in ("id", "text_key", "n"))))
+    if picked.count() <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
-    keyed = docs.withColumn("__kvern_id", F.coalesce(F.col(id_column).cast("long"), least))
-    single = keyed.join(picked.where("__kvern_n = 1"), "__kvern_id", "left_semi")
-    again = keyed.join(picked.where("__kvern_n > 1"), "__kvern_id", "left_semi").dropDuplicates(["__kvern_id"])
-    return single.unionByName(again).select(*docs.columns) if spark else docs
+    keyed, by = docs.select("*", *_keyed(id_column, text_column, "__kvern_")), ["__kvern_id", "__kvern_text_key"]
+    once = keyed.join(picked.where("__kvern_n = 1"), by, "left_semi")
+    again = keyed.join(picked.where("__kvern_n > 1"), by, "left_semi").dropDuplicates(by)
+    return once.unionByName(again).select(*docs.columns)

@@ -75,9 +75,18 @@ def test_odd_rows(odd, odd_rows, none):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
     classes = {c for _, c, _ in brute(odd_rows)}
     assert len(got) == len(set(got)) == len(classes)
+    assert nj.one_of_each(kept).count() == len(got)
     assert nj.join_documents(none).count() == nj.one_of_each(none).count() == 0
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 50), prose(rng, 50)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, ""), (3, "##"), (3, "##"), (None, None), (None, None)]
+    kept = nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in ((1, a), (1, b), (3, ""), (3, "##"), (None, None)))
+
+
 def test_bad_threshold(none):
     with pytest.raises(ValueError):
         nj.join_documents(none, threshold=0)
