@@ -102,6 +102,19 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
+class _Growing:
+    """An array that is added to; its first n values are used."""
+
+    def __init__(self, dtype: np.dtype | type) -> None:
+        self.values, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.values):
+            self.values = np.concatenate([self.values[: self.n], np.zeros(self.n + 2 * len(more), self.values.dtype)])
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Encoder:
     """A tokenizer of the tokenizers library, with a memory of pieces where it is a plain byte-level BPE.
 
@@ -129,23 +142,42 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.pool, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Hashes (sorted) and places of what is remembered: most of it, and what is new since it was last merged.
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.pool, self.start, self.size = _Growing(self.dtype), _Growing(np.int64), _Growing(np.int64)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the ids of pieces are; -1 for pieces that aren't remembered."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, place in self.known:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                out = np.where(known[at] == hashes, place[at], out)
+        return out
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Remembers the ids of new pieces; hashes are sorted."""
-        ids, size = [self.pool], []
+        ids, size = [], []
         for at in range(0, len(pieces), 1000):
             some = pieces[at : at + 1000]
             got = self.single.encode(_BETWEEN.join(some), add_special_tokens=False)
             ids.append(np.array(got.ids, self.dtype))
             size.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
         fresh = np.concatenate(size)
-        first = len(self.pool) + np.cumsum(fresh) - fresh
-        where = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, where, hashes)
-        self.place = np.insert(self.place, where, len(self.size) + np.arange(len(fresh)))
-        self.pool, self.start, self.size = np.concatenate(ids), np.concatenate([self.start, first]), np.concatenate([self.size, fresh])
+        place = self.size.n + np.arange(len(fresh))
+        self.start.add(self.pool.n + np.cumsum(fresh) - fresh)
+        self.size.add(fresh)
+        self.pool.add(np.concatenate(ids))
+        old, new = self.known[0], self._merged(self.known[1], (hashes, place))
+        if len(new[0]) > max(1 << 15, len(old[0]) // 8):
+            old, new = self._merged(old, new), self._merged()
+        self.known = [old, new]
+
+    @staticmethod
+    def _merged(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], place[order]
 
     def _by_piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that can be taken apart, and how many each has."""
@@ -153,21 +185,22 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         hashes = textvec.run_hashes(data, starts, _BYTE)
         once, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, once), max(len(self.known) - 1, 0))
-        fresh = self.known[at] != once if len(self.known) else np.ones(len(once), bool)
+        at = self._places(once)
+        fresh = at < 0
         if fresh.any():
             raw = data.tobytes()
+            before = self.size.n
             self._learn(once[fresh], [raw[starts[i] : ends[i]].decode() for i in first[fresh]])
-            at = np.searchsorted(self.known, once)
-        place = self.place[at][where]
-        size = self.size[place]
+            at[fresh] = before + np.arange(int(fresh.sum()))
+        place = at[where]
+        size = self.size.values[place]
         to = np.cumsum(size)
-        ids = self.pool[np.arange(to[-1]) + np.repeat(self.start[place] - to + size, size)]
+        ids = self.pool.values[np.arange(to[-1]) + np.repeat(self.start.values[place] - to + size, size)]
         return ids, np.diff(np.concatenate([[0], to])[np.searchsorted(starts, bounds)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts with an end id after each, and how many each has."""
-        if len(self.known) > REMEMBERED:
+        if self.size.n > REMEMBERED:
             self.forget()
         every: list[np.ndarray] = []
         counts: list[np.ndarray] = []
