@@ -1,13 +1,14 @@
 """Document scores by cross-entropy difference of two n-gram language models.
 
 A target model is counted on documents that are wanted, a background model on all documents.  The two
-match: one vocabulary (the frequent words of all documents, all others are one unknown word), one set of
+match: one vocabulary (the words that come up twice or more, all others are one unknown word), one set of
 bigrams, the same order, smoothing and, by scaling the background's counts, the same number of tokens.
 A document's score is its loss per token by the target model less that by the background model: the
 lower, the more it is like the target.
 
-All words and bigrams of all documents are counted.  What is held by every executor is bounded by the
-model's size: VOCABULARY words and BIGRAMS bigrams, those with the highest counts.
+All words and bigrams of all documents are counted, and all that come up twice or more are held, in tables
+that grow with the input (`lm_tables`).  Only where a caller asks for models of some size at most, those with the
+highest counts are kept, and every executor has them.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvern.llm import textvec
+from kvern.llm import lm_tables, textvec
 from kvern.llm.util import in_arrow, mapped, numbers, partitions, runs, streamed, written
 
-#: Entries of the models at most (16 and 24 bytes each).
+#: Entries at most (16 and 24 bytes each) of models that are asked to be small, where one of the two isn't named.
 VOCABULARY, BIGRAMS = 1 << 16, 1 << 20
 DISCOUNT, ADDED = 0.75, 0.5
 #: Ids of words have so many bits; the last id stands for all words after a history.
@@ -127,8 +128,8 @@ def _counts(docs: DataFrame, keys) -> DataFrame:
 
 def _most(counts: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and (2, keys) counts of all that have the least count with which `at_most` are not exceeded."""
-    # A row for each count that there is; counts over the limit below can't be more than at_most keys.
-    many = counts.groupBy(F.least("background", F.lit(1 << 16)).alias("c")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c", ascending=False)
+    # A row for each count that there is: about the square root of the number of tokens at most.
+    many = counts.groupBy(F.col("background").alias("c")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c", ascending=False)
     fits = many[many["n"].cumsum() <= at_most]
     least = int(fits["c"].min()) if len(fits) else None
     if least is None:
@@ -193,11 +194,12 @@ def losses(model: Model, w: textvec.Words) -> np.ndarray:
     return np.stack([np.bincount(row, -np.log(c), minlength=len(w.bounds) - 1) for c in chance])
 
 
-def score_documents(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: int | None = None, bigrams: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of each document; wanted: the ids of target documents, in a column of the same name.
 
     Losses are nats per token; a text without a word, a null text too, has 0 tokens and scores 0.  Repeated rows
-    count each time.  Without target documents both models are the same and all scores 0.
+    count each time.  Without target documents both models are the same and all scores 0.  The models hold every
+    word and bigram that comes up twice or more, unless `vocabulary` or `bigrams` ask for fewer.
     """
     ids = wanted.select(F.col(id_column).alias("__id")).where("__id is not null").distinct().withColumn("__wanted", F.lit(True))
     if ids.count() <= BROADCAST_ROWS:
@@ -206,7 +208,9 @@ def score_documents(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id
     read = flagged.select("doc_id", "text", F.coalesce("__wanted", F.lit(False)).alias("wanted"))
     if not read.where("wanted").limit(1).count():
         read = read.withColumn("wanted", F.lit(True))
-    model = docs.sparkSession.sparkContext.broadcast(train(read, vocabulary, bigrams))
+    if vocabulary is None and bigrams is None:
+        return lm_tables.losses(read, DISCOUNT, ADDED).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    model = docs.sparkSession.sparkContext.broadcast(train(read, VOCABULARY if vocabulary is None else vocabulary, BIGRAMS if bigrams is None else bigrams))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, data, bounds in textvec.chunks(batch.column("text")):

@@ -1,0 +1,277 @@
+"""Whole n-gram tables for `lm_score`: all words and bigrams that come up twice or more, however many there are.
+
+No executor holds a model.  Words that come up once (one unknown word from then on) are sent back to their text;
+words, bigrams and their values are tables dealt by hash, and a document's distinct words and bigrams,
+with their counts, are dealt to the values.  With rest(h) what is left after a history and plain(w) a word's chance,
+
+    loss(text) = sum of -ln rest(h) - ln plain(w) over its words, and for bigrams that are held
+                 of ln(rest(h) plain(w)) - ln(given(h, w) + rest(h) plain(w)).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from kvern.llm import textvec
+from kvern.llm.util import mapped, numbers, partitions, runs, streamed, written
+
+#: What stands for words that come up once, for a text's start and for its end.
+UNKNOWN, START, END = 0, 1, 2
+#: Kinds of values: of a bigram (its key is given), of a word, of a text's last word as a history that it isn't.
+PAIR, WORD, LAST = range(3)
+_SALT = {kind: np.uint64(0x9E3779B97F4A7C15 * (2 * kind + 1) & (1 << 64) - 1) for kind in (PAIR, WORD, LAST)}
+#: Different keys that a task holds before it deals them out, about.
+KEYS_AT_ONCE = 2 << 20
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _of(x: np.ndarray, kind: int) -> np.ndarray:
+    return textvec.mix(x ^ _SALT[kind])
+
+
+def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A bigram's key; less the history's part, it is the word."""
+    return _of(before, PAIR) + word
+
+
+def _added(key: np.ndarray, extra: np.ndarray, target: np.ndarray, every: np.ndarray) -> Counted:
+    """Each key once, with one of its extras and the sums of its counts."""
+    if not len(key):
+        return key, extra, target.astype(np.int64), every.astype(np.int64)
+    order = np.argsort(key)
+    cut = runs(key[order])[:-1]
+    first = order[cut]
+    return key[first], extra[first], *(np.add.reduceat(x[order].astype(np.int64), cut) for x in (target, every))
+
+
+def _joined(done: list[Counted]) -> Counted:
+    return _added(*(np.concatenate(x) for x in zip(*done, strict=True)))
+
+
+def _cut_up(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has keys, and their places in order."""
+    part = (textvec.mix(key) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)):
+        yield int(p), order[cut[p] : cut[p + 1]]
+
+
+def _counts(docs: DataFrame, columns: list[str], keys: Callable, held: Callable[..., np.ndarray]) -> DataFrame:
+    """(key, extra, target, background) of the keys for which held(key, extra, background) is true."""
+    parts = 4 * partitions(docs.sparkSession)
+
+    def packed(counted: Counted) -> pa.RecordBatch:
+        key, extra, target, every = counted
+        rows = [(p, key[at].tobytes(), extra[at].tobytes(), target[at].astype("<u4").tobytes(), every[at].astype("<u4").tobytes()) for p, at in _cut_up(key, parts)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], ["part", "key", "extra", "target", "background"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[Counted] = []
+        for batch in batches:
+            wanted = numbers(batch.column("wanted"), "?")
+            for first, last, data, bounds in textvec.chunks(batch.column("text")):
+                key, extra, row = keys(textvec.words(data, bounds), batch.slice(first, last - first))
+                done.append(_added(key, extra, wanted[first:last][row], np.ones(len(key), np.int8)))
+                if sum(len(x[0]) for x in done) > KEYS_AT_ONCE:
+                    if len(done) == 1 or len(done[0][0]) > KEYS_AT_ONCE // 2:  # adding up no longer makes it less
+                        yield packed(_joined(done))
+                        done = []
+                    else:
+                        done = [_joined(done)]
+        if done:
+            yield packed(_joined(done))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in streamed(batches, "part"):
+            cut = runs(numbers(table["part"].combine_chunks(), "i8"))
+            binary = [table[c].to_pylist() for c in ("key", "extra", "target", "background")]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                key, extra, target, every = _added(*(np.frombuffer(b"".join(x[lo:hi]), t) for x, t in zip(binary, ("<u8", "<u8", "<u4", "<u4"), strict=True)))
+                at = held(key, extra, every)
+                yield pa.record_batch([pa.array(x[at]) for x in (key.view(np.int64), extra.view(np.int64), target, every)], ["key", "extra", "target", "background"])
+
+    dealt = mapped(docs.select("text", "wanted", *columns), deal, "part int, key binary, extra binary, target binary, background binary")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
+    return written(mapped(dealt, merge, "key long, extra long, target long, background long"))
+
+
+def _known(w: textvec.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with those that come up once as UNKNOWN, the word before each, each one's text, and the places of last words."""
+    once = np.sort(batch.column("once").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    ids = w.hashes.copy()
+    if len(once) and len(ids):
+        at = np.minimum(np.searchsorted(once, ids), len(once) - 1)
+        ids[once[at] == ids] = UNKNOWN
+    some = np.diff(w.bounds) > 0
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[w.bounds[:-1][some]] = START
+    return ids, before, w.row(), w.bounds[1:][some] - 1
+
+
+def _word_keys(w: textvec.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row = w.row()
+    return w.hashes, numbers(batch.column("at"), "i8").view(np.uint64)[row], row
+
+
+def _pair_keys(w: textvec.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, before, row, last = _known(w, batch)
+    start, end = np.full(len(last), START, np.uint64), np.full(len(last), END, np.uint64)
+    history = np.concatenate([before, ids[last], start])
+    return _pair(history, np.concatenate([ids, end, end])), history, np.concatenate([row, row[last], row[last]])
+
+
+def _requests(w: textvec.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key and count of what a text's loss is the sum of."""
+    ids, before, row, last = _known(w, batch)
+    start = _of(np.full(len(last), START, np.uint64), LAST)
+    row = np.concatenate([row, row, row[last], row[last]])
+    key = np.concatenate([_pair(before, ids), _of(ids, WORD), _of(ids[last], LAST), start])
+    n = np.ones(len(key), np.int32)
+    n[2 * len(ids) : 2 * len(ids) + len(last)] = -1
+    order = np.lexsort((key, row))
+    row, key, n = row[order], key[order], n[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    cut = np.flatnonzero(fresh)
+    return row[cut], key[cut], np.add.reduceat(n, cut) if len(cut) else n
+
+
+def _sums(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(rid, n_tokens, target, background): the values of each document's words and bigrams, added up; values: kind, x, target, background."""
+    parts = partitions(docs.sparkSession)
+    names = ["part", "kind", "key", "a", "b"]
+    schema = "part int, kind int, key binary, a binary, b binary"
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.record_batch([*(pa.array(x, pa.int32()) for x in columns[:2]), *(pa.array(x, pa.binary()) for x in columns[2:])], names)
+
+    def deal_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            kind, x, target, every = (np.concatenate(c) for c in zip(*held, strict=True))
+            key = x.view(np.uint64).copy()
+            for k in (WORD, LAST):
+                key[kind == k] = _of(key[kind == k], k)
+            one = (kind == WORD).astype("<f8")
+            return rows_of([(p, 0, key[at].tobytes(), np.stack([target[at], every[at], one[at]], 1).tobytes(), b"") for p, at in _cut_up(key, parts)])
+
+        for batch in batches:
+            held.append(tuple(numbers(batch.column(c), t) for c, t in (("kind", "i4"), ("x", "i8"), ("target", "f8"), ("background", "f8"))))
+            if sum(len(x[0]) for x in held) > KEYS_AT_ONCE // 4:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    def deal_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            rid, key, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            return rows_of([(p, 1, key[at].tobytes(), rid[at].astype("<i8").tobytes(), n[at].astype("<i4").tobytes()) for p, at in _cut_up(key, parts)])
+
+        for batch in batches:
+            ids = numbers(batch.column("rid"), "i8")
+            for first, last, data, bounds in textvec.chunks(batch.column("text")):
+                row, key, n = _requests(textvec.words(data, bounds), batch.slice(first, last - first))
+                held.append((ids[first:last][row], key, n))
+                if sum(len(x[0]) for x in held) > KEYS_AT_ONCE:
+                    yield packed()
+                    held = []
+        if held:
+            yield packed()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, fresh, key, value = -1, [], np.zeros(0, np.uint64), np.zeros((0, 3))
+        for batch in batches:
+            for p, kind, keys, a, b in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if p != part:
+                    part, fresh, key, value = p, [], np.zeros(0, np.uint64), np.zeros((0, 3))
+                if kind == 0:
+                    fresh.append((np.frombuffer(keys, "<u8"), np.frombuffer(a, "<f8").reshape(-1, 3)))
+                    continue
+                if fresh:
+                    key, value = (np.concatenate(x) for x in zip(*fresh, strict=True))
+                    order = np.argsort(key)
+                    key, value, fresh = key[order], value[order], []
+                if not len(key):
+                    continue
+                asked, rid, n = np.frombuffer(keys, "<u8"), np.frombuffer(a, "<i8"), np.frombuffer(b, "<i4")
+                at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+                has = np.flatnonzero(key[at] == asked)
+                own, which = np.unique(rid[has], return_inverse=True)
+                got = [np.bincount(which, value[at[has], k] * n[has], minlength=len(own)) for k in range(3)]
+                yield pa.record_batch([pa.array(own), *(pa.array(g) for g in got)], ["rid", "target", "background", "n"])
+
+    requests = mapped(docs.select("rid", "text", "once"), deal_requests, schema)
+    every = mapped(values, deal_values, schema).unionByName(requests)
+    every = every.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    found = mapped(every, answer, "rid long, target double, background double, n double")
+    return found.groupBy("rid").agg(F.round(F.sum("n")).cast("long").alias("n_tokens"), F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _values(words: DataFrame, pairs: DataFrame, discount: float, added: float) -> DataFrame:
+    """(kind, x, target, background) from the counts of words (those that come up once too) and of bigrams."""
+    spark = words.sparkSession
+    total = words.agg(F.sum("target"), F.sum("background"), *(F.sum(F.when(F.col("background") == 1, F.col(c))) for c in ("target", "background")), F.count(F.when(F.col("background") > 1, 1))).first()
+    tokens, every, once, once_every, held = (x or 0 for x in total)
+    scale = {"target": 1.0, "background": tokens / every if every else 1.0}
+    mass = tokens + added * (held + 1)
+    special = spark.createDataFrame([(UNKNOWN, once, once_every), (START, 0, 0)], "x long, target long, background long")
+    single = words.where("background > 1").select(F.col("key").alias("x"), "target", "background").unionByName(special)
+    ends = pairs.where(F.col("word") == END).select(F.col("before").alias("x"), F.col("target").alias("e_target"), F.col("background").alias("e_background"))
+    both = ("target", "background")
+
+    def after(c: str) -> Column:
+        ended = F.coalesce(f"e_{c}", F.lit(0))
+        return F.when(F.col("x") == START, ended).otherwise(F.col(c) - ended) * scale[c]
+
+    table = written(single.join(ends, "x", "left").select("x", *(((F.col(c) * scale[c] + added) / mass).alias(f"plain_{c}") for c in both), *(after(c).alias(f"after_{c}") for c in both)))
+    held_pairs = pairs.where((F.col("word") != END) & (F.col("background") > 1)).join(table.select(F.col("x").alias("before"), "after_target", "after_background"), "before")
+    given = {c: F.when(F.col(f"after_{c}") > 0, F.greatest(F.col(c) * scale[c] - discount, F.lit(0.0)) / F.col(f"after_{c}")).otherwise(0.0) for c in both}
+    held_pairs = written(held_pairs.select("key", "before", "word", *(given[c].alias(c) for c in both)))
+    used = held_pairs.groupBy(F.col("before").alias("x")).agg(*(F.sum(c).alias(f"used_{c}") for c in both))
+    rest = {c: F.greatest(1 - F.coalesce(f"used_{c}", F.lit(0.0)), F.lit(1e-9)) for c in both}
+    full = written(table.join(used, "x", "left").select("x", *(F.col(f"plain_{c}") for c in both), *(rest[c].alias(f"rest_{c}") for c in both)))
+    of_words = full.where(F.col("x") != START).select(F.lit(WORD).alias("kind"), "x", *((-F.log(f"rest_{c}") - F.log(f"plain_{c}")).alias(c) for c in both))
+    of_last = full.select(F.lit(LAST).alias("kind"), "x", *((-F.log(f"rest_{c}")).alias(c) for c in both))
+    met = held_pairs.join(full.select(F.col("x").alias("before"), *(f"rest_{c}" for c in both)), "before").join(full.select(F.col("x").alias("word"), *(f"plain_{c}" for c in both)), "word")
+    backed = {c: F.col(f"rest_{c}") * F.col(f"plain_{c}") for c in both}
+    of_pairs = met.select(F.lit(PAIR).alias("kind"), F.col("key").alias("x"), *((F.log(backed[c]) - F.log(F.col(c) + backed[c])).alias(c) for c in both))
+    return of_words.unionByName(of_last).unionByName(of_pairs)
+
+
+def _parts_of_pairs(counts: DataFrame) -> DataFrame:
+    """Bigram counts with the two words."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, before = (numbers(b.column(c), "i8").view(np.uint64) for c in ("key", "extra"))
+            word = (key - _of(before, PAIR)).view(np.int64)
+            yield pa.record_batch([b.column("key"), b.column("extra"), pa.array(word), b.column("target"), b.column("background")], ["key", "before", "word", "target", "background"])
+
+    return written(mapped(counts, split, "key long, before long, word long, target long, background long"))
+
+
+def losses(docs: DataFrame, discount: float, added: float) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss), losses in nats per token, for docs (doc_id, text, wanted)."""
+    # Rows with one id and text have no word that comes up once.
+    docs = docs.withColumn("at", F.xxhash64("doc_id", "text"))
+    words = _counts(docs, ["at"], _word_keys, lambda key, extra, every: every > 0)
+    once = words.where("background = 1").groupBy(F.col("extra").alias("at")).agg(F.collect_list("key").alias("once"))
+    kept = written(docs.join(once, "at", "left").select("doc_id", "text", "wanted", "once").withColumn("rid", F.monotonically_increasing_id()))
+    pairs = _parts_of_pairs(_counts(kept, ["once"], _pair_keys, lambda key, extra, every: (every > 1) | (key - _of(extra, PAIR) == END)))
+    sums = _sums(kept, _values(words, pairs, discount, added))
+    n = F.coalesce("n_tokens", F.lit(0).cast("long"))
+    per = [(F.coalesce(c, F.lit(0.0)) / F.greatest(n, F.lit(1))).alias(f"{c}_loss") for c in ("target", "background")]
+    return kept.select("rid", "doc_id").join(sums, "rid", "left").select("doc_id", n.alias("n_tokens"), *per)

@@ -79,3 +79,18 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert all(r["n_tokens"] > 0 or r["score"] == 0 for r in out) and all(math.isfinite(r["score"]) for r in out)
     assert lm.score_documents(none, odd).count() == 0
     assert {r["score"] for r in lm.score_documents(odd, none).collect()} == {0.0}
+
+
+def test_models_hold_more_words_than_a_small_model(spark):
+    n = lm.VOCABULARY + 1000
+    rows = [(d * 100 + k, " ".join(f"w{j}" for j in range(k, n, 100))) for d in range(2) for k in range(100)] + [(900, "once only w1 w1")]
+    wanted = set(range(50))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, wanted)
+    for r in lm.score_documents(docs, docs.where("doc_id < 50").select("doc_id")).collect():
+        assert (r["n_tokens"], r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], rel=1e-4)
+
+
+def test_a_small_model_splits_the_highest_counts(spark):
+    counts = spark.createDataFrame([(k, 0, (1 << 16) + k) for k in range(100)], "key long, target long, background long")
+    assert lm._most(counts, 10)[0].tolist() == list(range(90, 100))
