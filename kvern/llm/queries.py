@@ -78,7 +78,7 @@ def op9_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
 
 
 def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spotsigs.edited_pairs(_table(spark, sf_dir, "documents"))
+    pairs = spotsigs.edited_pairs(_table(spark, sf_dir, "documents"), gap=spotsigs.GAP)
     own, edited = spotsigs.fingerprint(F.col("signatures")), spotsigs.fingerprint(F.col("edited_signatures"))
     digest = F.sha2(F.col("edited").cast("binary"), 256)
     return pairs.select("doc_id", "n_chars", digest.alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next")

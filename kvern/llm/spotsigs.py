@@ -5,6 +5,10 @@ words are those that are no anchors.  Anchors directly before another anchor giv
 counts as one more anchor.  A document's fingerprint is its set of hashed signatures with the number
 of the length partition that the set is in.  Sets are compared by Jaccard, pruned by their lengths: those in
 partitions that do not touch can't reach the threshold, nor can those whose lengths' ratio is below it.
+
+With a `gap`, content words are anchors too where common ones are missing: those that have so many content words
+between the anchor before and themselves, and before a text's first anchor all after the first chain.  So texts
+without common words (other languages, code, tables) are covered to their end; the rule looks at nearby words only.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from kvern.llm.decontaminate import words
 from kvern.llm.util import written
 
 CHAIN = 3
+#: Content words after an anchor beyond which the next ones are anchors themselves, for callers that ask for it.
+GAP = 8
 THRESHOLD = 0.8
 #: Common words by language (fixed values).
 ANCHORS = (
@@ -31,7 +37,7 @@ LEAST = -(1 << 63)
 RANGE_ROWS, RANGES = 10_000, 1 << 14
 
 
-def signatures(df: DataFrame, text: str, into: str) -> DataFrame:
+def signatures(df: DataFrame, text: str, into: str, gap: int | None = None) -> DataFrame:
     """df and `into`: the sorted array of distinct signatures (ints) of the column `text`.
 
     A null or empty text has none.  A text without a content word has one, of all its words; one without
@@ -50,7 +56,17 @@ def signatures(df: DataFrame, text: str, into: str) -> DataFrame:
         directly = F.coalesce(F.get(F.col(a), j + 1) == i + 1, F.lit(False))
         return F.when(~directly & (i - j < F.size(c)), chain(F.get(F.col(w), i), i - j))
 
+    def between(first: Column, end: Column) -> Column:
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))
+
+    def far(i: Column, j: Column) -> Column:
+        # Content words after the anchor at place i are c[i - j], ... up to the next anchor.
+        return between(i - j + gap, F.coalesce(F.get(F.col(a), j + 1), F.size(w)) - j - 1)
+
     spots = F.array_compact(F.transform(F.col(a), spot))
+    if gap is not None:
+        more = F.concat(between(F.lit(CHAIN), F.coalesce(F.get(F.col(a), 0), F.size(w))), F.flatten(F.transform(F.col(a), far)))
+        spots = F.concat(spots, F.transform(more, lambda at: chain(F.get(F.col(c), at), at + 1)))
     whole = F.array(F.hash(F.lit("$"), F.concat_ws(" ", w)))
     odd = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(F.array(F.hash(F.lit("#"), F.col(text))))
     found = F.when(F.size(c) > 0, F.concat(spots, F.array(chain(F.lit("^"), F.lit(0))))).when(F.size(w) > 0, whole).otherwise(odd)
@@ -114,28 +130,28 @@ def with_next(docs: DataFrame, carried: list[str], id_column: str, key: str) ->
     return every.select(*docs.columns, "__lent", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where(~F.col("__lent")).drop("__lent")
 
 
-def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", gap: int | None = None) -> DataFrame:
     """Each document with its fingerprint, its edited text and the next document's, and how alike they are.
 
     doc_id, n_chars, edited, signatures, edited_signatures, near_edited, near_next.  The edited text has the last
     third of the code points replaced by the first as many of the next document.  A null text counts as empty.
     """
     base = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    own = with_next(signatures(base, "text", "signatures"), ["text", "signatures"], "doc_id", "key")
+    own = with_next(signatures(base, "text", "signatures", gap), ["text", "signatures"], "doc_id", "key")
     third = F.floor(F.length("text") / 3).cast("int")
     edited = own.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third)))
     slim = edited.select("doc_id", "n_chars", "edited", "signatures", likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
-    return signatures(slim, "edited", "edited_signatures").withColumn("near_edited", likeness(F.col("signatures"), F.col("edited_signatures")))
+    return signatures(slim, "edited", "edited_signatures", gap).withColumn("near_edited", likeness(F.col("signatures"), F.col("edited_signatures")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", gap: int | None = None) -> DataFrame:
     """(a, b, likeness) of the classes (least id of the documents with one set of signatures) that reach the threshold.
 
     Signatures are ordered by rarity over all classes; two sets that reach the threshold share one among the
     first length - ceil(threshold * length) + 1 of each, and their length partitions are the same or
     neighbours: only those are joined.  Documents without a signature are in no pair.
     """
-    sets = signatures(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text", "signatures").where((F.size("signatures") > 0) & F.col("id").isNotNull())
+    sets = signatures(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text", "signatures", gap).where((F.size("signatures") > 0) & F.col("id").isNotNull())
     classes = written(sets.groupBy("signatures").agg(F.min("id").alias("id")).withColumn("n", F.size("signatures")))
     each = classes.select("id", "n", F.explode("signatures").alias("s"))
     counted = each.groupBy("s").agg(F.count(F.lit(1)).alias("times"))

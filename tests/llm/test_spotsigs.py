@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kvern.llm import queries as q
 from kvern.llm import spotsigs as ss
 from tests.llm.conftest import SCHEMA, prose, sha, words_of
 
@@ -91,3 +92,34 @@ def test_pairs_agree_with_all_pairs(spark, threshold):
     want = {frozenset((i, j)) for i in ids for j in ids if i < j and jaccard(sets[i], sets[j]) >= threshold}
     got = ss.near_duplicates(spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA), threshold).collect()
     assert {frozenset((r["a"], r["b"])) for r in got} == want and len(got) == len(want)
+
+
+def test_the_query_covers_texts_without_anchors(spark, tmp_path):
+    def text(k):
+        return " ".join(["same", "three", "words"] + [f"x{k}y{j}" for j in range(300)])
+
+    rows = [(3, text(3)), (2, text(2)), (1, text(1)), (0, "same three words other end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in q.op10_spotsigs_fingerprints(spark, str(tmp_path)).collect()}
+    assert len({r["fingerprint"] for r in got.values()}) == 4
+    assert all(r["near_next"] < 0.1 for r in got.values()) and all(0.3 < got[k]["near_edited"] < 0.7 for k in (3, 2))
+
+
+def test_far_words_are_anchors(spark):
+    def anchored(text, gap):
+        w, since, c = words_of(text), None, [x for x in words_of(text) if x not in ANCHORS]
+        out, at = signatures(text), 0
+        for x in w:
+            if x in ANCHORS:
+                since = 0
+                continue
+            if at >= ss.CHAIN if since is None else since >= gap:
+                out.add(tuple(c[at : at + ss.CHAIN + 1]))
+            at, since = at + 1, None if since is None else since + 1
+        return out
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", *(f"w{j}" for j in range(50))]) for _ in range(n)) for n in (1, 4, 5, 9, 60, 200)] + [prose(rng, 300), "the", "a b c d e f g h i j k l m n the", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {r["k"]: r["n"] for r in ss.signatures(df, "text", "s", ss.GAP).select("k", F.size("s").alias("n")).collect()}
+    assert got == {k: len(anchored(t or "", ss.GAP)) for k, t in enumerate(texts)}
