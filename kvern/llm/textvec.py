@@ -39,22 +39,10 @@ def _lowered() -> np.ndarray:
 
 
 _LOWERED = _lowered()
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
-_BYTE[0] = 0
 _STEP = 0xD1342543DE82EF95
-_STEP_BACK = pow(_STEP, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
-        out = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(out, out=out)
-        _powers[base] = out
-    return _powers[base][:n]
+#: Bytes that a hash takes at once; keeps the first 0 to 8 of them.
+EXACT = 8
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(EXACT + 1)], np.uint64)
 
 
 @dataclass
@@ -100,11 +88,22 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = last
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A hash of the bytes from each start to the next; a byte that the table has as 0 counts for nothing at the end of a run."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each run, eight at a time: those so far are mixed before the next ones join them.
+
+    Two runs of up to EXACT bytes never share a hash, unless they end in zero bytes.
+    """
+    eight = np.ndarray((len(data) + 1,), np.uint64, np.concatenate([data, np.zeros(EXACT, np.uint8)]), 0, (1,))
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(table[data] * _power(_STEP, len(data)), starts)
-        return mix(sums * _power(_STEP_BACK, len(data))[starts])
+        out = np.full(len(starts), _MULTIPLIER)
+        at, done = slice(None), 0
+        while len(starts):
+            out[at] = mix(out[at] ^ (eight[starts] & _FIRST[np.minimum(sizes - done, EXACT)]))
+            done += EXACT
+            more = np.flatnonzero(sizes > done)
+            at = more if done == EXACT else at[more]
+            starts, sizes = starts[more] + EXACT, sizes[more]
+        return out
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> Words:
@@ -116,9 +115,9 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     firsts = bounds[:-1][bounds[:-1] < bounds[1:]]
     fresh[firsts] = inside[firsts]
     starts = np.flatnonzero(fresh)
-    if not len(starts):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), starts, data)
-    return Words(run_hashes(lowered, starts, _BYTE), np.searchsorted(starts, bounds), starts, data)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | fresh[1:]
+    return Words(run_hashes(lowered, starts, np.flatnonzero(last) + 1 - starts), np.searchsorted(starts, bounds), starts, data)
 
 
 def grams(w: Words, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:

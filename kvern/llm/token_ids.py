@@ -49,7 +49,6 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
-_BYTE = textvec.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -120,7 +119,8 @@ class Encoder:
 
     Such a tokenizer cuts a text into runs of letters, of digits and of signs, each with one blank before it, and
     encodes them one by one.  Most texts are cut here, all pieces of a chunk at once, and the library gets each
-    piece that isn't remembered (by a 64-bit hash).  A text whose cuts aren't plain, or with one of the
+    piece that isn't remembered.  Pieces are found by a 64-bit hash, which tells those of up to eight bytes apart;
+    of longer ones the bytes are compared too.  A text whose cuts aren't plain, or with one of the
     tokenizer's added tokens, goes to the library whole, as does every text for other tokenizers.
     """
 
@@ -145,6 +145,8 @@ class Encoder:
         # Hashes (sorted) and places of what is remembered: most of it, and what is new since it was last merged.
         self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.pool, self.start, self.size = _Growing(self.dtype), _Growing(np.int64), _Growing(np.int64)
+        # Bytes of long pieces; where each piece's are and how many (short ones: none).
+        self.raw, self.at, self.long = _Growing(np.uint8), _Growing(np.int64), _Growing(np.int64)
 
     def _places(self, hashes: np.ndarray) -> np.ndarray:
         """Where the ids of pieces are; -1 for pieces that aren't remembered."""
@@ -155,11 +157,11 @@ class Encoder:
                 out = np.where(known[at] == hashes, place[at], out)
         return out
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Remembers the ids of new pieces; hashes are sorted."""
         ids, size = [], []
         for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
+            some = [p.decode() for p in pieces[at : at + 1000]]
             got = self.single.encode(_BETWEEN.join(some), add_special_tokens=False)
             ids.append(np.array(got.ids, self.dtype))
             size.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
@@ -168,6 +170,10 @@ class Encoder:
         self.start.add(self.pool.n + np.cumsum(fresh) - fresh)
         self.size.add(fresh)
         self.pool.add(np.concatenate(ids))
+        long = np.array([len(p) if len(p) > textvec.EXACT else 0 for p in pieces])
+        self.at.add(self.raw.n + np.cumsum(long) - long)
+        self.long.add(long)
+        self.raw.add(np.frombuffer(b"".join(p for p in pieces if len(p) > textvec.EXACT), np.uint8))
         old, new = self.known[0], self._merged(self.known[1], (hashes, place))
         if len(new[0]) > max(1 << 15, len(old[0]) // 8):
             old, new = self._merged(old, new), self._merged()
@@ -179,20 +185,30 @@ class Encoder:
         order = np.argsort(hashes, kind="stable")
         return hashes[order], place[order]
 
-    def _by_piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that can be taken apart, and how many each has."""
+    def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> bool:
+        """Whether the long pieces are those that are remembered at their places, and all others short."""
+        sizes = np.where(sizes > textvec.EXACT, sizes, 0)
+        if not np.array_equal(sizes, self.long.values[place]):
+            return False
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.array_equal(data[np.repeat(starts, sizes) + inside], self.raw.values[np.repeat(self.at.values[place], sizes) + inside])
+
+    def _by_piece(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of texts that can be taken apart, and how many each has; None if different pieces share a hash."""
         starts = _pieces(data, bounds)
         ends = np.append(starts[1:], len(data))
-        hashes = textvec.run_hashes(data, starts, _BYTE)
+        hashes = textvec.run_hashes(data, starts, ends - starts)
         once, first, where = np.unique(hashes, return_index=True, return_inverse=True)
         at = self._places(once)
         fresh = at < 0
         if fresh.any():
             raw = data.tobytes()
             before = self.size.n
-            self._learn(once[fresh], [raw[starts[i] : ends[i]].decode() for i in first[fresh]])
+            self._learn(once[fresh], [raw[starts[i] : ends[i]] for i in first[fresh]])
             at[fresh] = before + np.arange(int(fresh.sum()))
         place = at[where]
+        if not self._same(data, starts, ends - starts, place):
+            return None
         size = self.size.values[place]
         to = np.cumsum(size)
         ids = self.pool.values[np.arange(to[-1]) + np.repeat(self.start.values[place] - to + size, size)]
@@ -213,8 +229,10 @@ class Encoder:
             if apart.any() and len(data):
                 keep = np.repeat(apart, np.diff(bounds))
                 some = np.concatenate([[0], np.cumsum(np.diff(bounds)[apart])])
-                if some[-1]:
-                    own[0], n[apart] = self._by_piece(data[keep], some)
+                if some[-1] and (got := self._by_piece(data[keep], some)):
+                    own[0], n[apart] = got
+                elif some[-1]:
+                    apart[:] = False
             whole = [self.library.encode(texts[first + int(i)].as_py() or "", add_special_tokens=False).ids for i in np.flatnonzero(~apart)]
             if whole:
                 own[1], n[~apart] = np.array([i for ids in whole for i in ids], self.dtype), [len(ids) for ids in whole]
@@ -278,8 +296,8 @@ def ranks_of(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Writes the ids of all documents: `path`/blocks and `path`/ranks.
 
-    Documents are in ascending order of ids (null first, those with one id by their ids' bytes).  A null text is
-    empty and has the end id alone.
+    Documents are in ascending order of ids (null first, those with one id by a hash of their ids).  A null text is
+    empty and has the end id alone.  Rows that are alike in all of that are dealt to several ranges too.
     """
     spark = docs.sparkSession
     probe = Encoder(tokenizer, end)
@@ -310,26 +328,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = END, id_col
         if held:
             yield out()
 
-    dealt = ids.repartitionByRange(partitions(spark), "doc_id", "n_tokens").sortWithinPartitions("doc_id", "ids")
+    # ids is written: its rows have the same place each time that they are read.
+    keyed = ids.withColumns({"key": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(partitions(spark), "doc_id", "key", "row").sortWithinPartitions("doc_id", "key", "row").select("doc_id", "n_tokens", "ids")
     mapped(dealt, blocks, "part int, block int, n_docs long, n_tokens long, doc_ids binary, lengths binary, control binary, data binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame([(int(k), int(i)) for k, i in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(part, block, place, doc_id, n_tokens, ids): the documents that the files hold; ids are 4 bytes each, little-endian."""
+    """(part, block, place, doc_id, start, n_tokens, ids): the documents that the files hold; start counts from the block's first id; ids are 4 bytes each, little-endian."""
     return _read(spark, path, "ids binary", lambda raw: (raw, pa.binary()))
 
 
 def index_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), read back from the files; start counts all ids before the document's."""
     read = _read(spark, path, "ids_crc32 long", lambda raw: (zlib.crc32(raw), pa.int64()))
-    read = written(read)
-    parts = read.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "block", "n_tokens")
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # A row for each part: as many as the writing job had tasks.
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, 0)
-    placed = read.withColumn("inside", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(before, "part")
-    return placed.select(F.when(F.col("doc_id") != LEAST, F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocks.select("part", "block", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("inside")).join(before, "part")
+    found = read.join(placed.select("part", "block", (F.col("before") + F.col("inside")).alias("first")), ["part", "block"])
+    return found.select(F.when(F.col("doc_id") != LEAST, F.col("doc_id")).alias("doc_id"), (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _read(spark: SparkSession, path: str, column: str, of) -> DataFrame:
@@ -341,10 +362,9 @@ def _read(spark: SparkSession, path: str, column: str, of) -> DataFrame:
             part, block, n, names, lengths, control, data = (batch.column(c)[k].as_py() for c in ("part", "block", "n_tokens", "doc_ids", "lengths", "control", "data"))
             ids = shared.value[decode_ranks(control, data, n)].astype("<u4").tobytes()
             size = np.frombuffer(lengths, "<i8")
-            to = 4 * np.cumsum(size)
-            got = [of(ids[b - 4 * s : b]) for b, s in zip(to.tolist(), size.tolist(), strict=True)]
+            to = np.cumsum(size)
+            got = [of(ids[4 * (b - s) : 4 * b]) for b, s in zip(to.tolist(), size.tolist(), strict=True)]
             m = len(size)
-            yield pa.record_batch([pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(np.frombuffer(names, "<i8")), pa.array(size), pa.array([x for x, _ in got], got[0][1])], ["part", "block", "place", "doc_id", "n_tokens", column.split()[0]])
-
-    return in_arrow(spark.read.parquet(f"{path}/blocks"), run, f"part int, block int, place int, doc_id long, n_tokens long, {column}")
+            yield pa.record_batch([pa.array([part] * m, pa.int32()), pa.array([block] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(np.frombuffer(names, "<i8")), pa.array(to - size), pa.array(size), pa.array([x for x, _ in got], got[0][1])], ["part", "block", "place", "doc_id", "start", "n_tokens", column.split()[0]])
 
+    return in_arrow(spark.read.parquet(f"{path}/blocks"), run, f"part int, block int, place int, doc_id long, start long, n_tokens long, {column}")

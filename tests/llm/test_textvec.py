@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -45,3 +46,16 @@ def test_skip_grams():
     (w,) = of(["a b c d", "a x c"])
     two, row = tv.grams(w, 2, 1)
     assert list(row) == [0, 0, 1] and two[0] == two[2] != two[1]
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two different words of 2**n letters that sums of powers can't tell apart modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_arrangements_of_the_same_letters_differ():
+    texts = [w for n in (6, 10, 11, 12) for w in thue_morse(n)]
+    assert len({h for w in of(texts) for h in w.hashes.tolist()}) == len(texts)
+    short = ["".join(p) for p in itertools.product("ab0", repeat=9)]
+    assert len({h for w in of(short) for h in w.hashes.tolist()}) == len(short)

@@ -69,3 +69,30 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert sorted(r[0::2] for r in got if r[0] is not None) == sorted(r[0::2] for r in want if r[0] is not None)
     assert [r[0] for r in got] == [r[0] for r in want] and [r[1:] for r in got] == [r[1:] for r in want]
     assert indexed(spark, none)[0] == []
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """Long pieces under one hash, in one text and in texts one after the other, still get their own ids."""
+    of = ti.textvec.run_hashes
+    monkeypatch.setattr(ti.textvec, "run_hashes", lambda data, starts, sizes: np.where(sizes > 8, np.uint64(7), of(data, starts, sizes)))
+    encoder, library = ti.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("a considerable text", "a remarkable text", "considerable remarkable", "a considerable text", "unremarkable"):
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, ti.END]
+
+
+def test_arrangements_of_the_same_letters():
+    from tests.llm.test_textvec import thue_morse
+
+    encoder, library = ti.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in thue_morse(10) + thue_morse(12):
+        assert encoder.encode(pa.array([text]))[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, ti.END]
+
+
+def test_many_rows_without_an_id_are_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ti, "BLOCK_IDS", 50)
+    df = spark.createDataFrame([(None if k % 2 else k, "same text") for k in range(400)], "doc_id long, text string").repartition(5)
+    got, path = indexed(spark, df)
+    assert got == brute([(None if k % 2 else k, "same text") for k in range(400)])
+    sizes = [r["n"] for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "n").collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
