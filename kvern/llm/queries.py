@@ -68,7 +68,9 @@ def op7_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"), wanted)
+    found = lm_score.score_documents(_table(spark, sf_dir, "documents"), wanted)
+    # Sums of floats differ in their last digits with the order of adding; -0.0 becomes 0.0.
+    return found.select("doc_id", "n_tokens", *((F.round(c, 6) + 0.0).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op9_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +173,22 @@ SELECT a AS doc_id, class_id, least(a, coalesce((SELECT min(b) FROM link WHERE l
 """
 
 
+#: Dictionaries of all words and bigrams; '<' starts a text, '>' ends it.
+_OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS wanted FROM documents),
+e AS (SELECT r, wanted, unnest(list_prepend('<', w)) AS h, unnest(list_append(w, '>')) AS w FROM d WHERE len(w) > 0),
+c AS (SELECT w, count(*) FILTER (wanted) AS t, count(*) AS b FROM e GROUP BY 1),
+n AS (SELECT sum(t) AS t, sum(t) / sum(b) AS s, count(*) AS v FROM c),
+p AS (SELECT h, w, count(*) FILTER (wanted) AS t, count(*) AS b FROM e GROUP BY 1, 2),
+x AS (SELECT p.h, p.w, ln((p.t + {lm_score.PRIOR} * (own.t + {lm_score.ADDED}) / (n.t + {lm_score.ADDED} * v)) / (before.t + {lm_score.PRIOR})) AS t,
+             ln((p.b * s + {lm_score.PRIOR} * (own.b * s + {lm_score.ADDED}) / (n.t + {lm_score.ADDED} * v)) / (before.b * s + {lm_score.PRIOR})) AS b
+      FROM p JOIN c own ON own.w = p.w JOIN c before ON before.w = CASE WHEN p.h = '<' THEN '>' ELSE p.h END, n),
+l AS (SELECT r, -avg(x.t) AS t, -avg(x.b) AS b FROM e JOIN x ON e.h = x.h AND e.w = x.w GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(t, 0), 6) + 0.0 AS target_loss, round(coalesce(b, 0), 6) + 0.0 AS background_loss, round(coalesce(t - b, 0), 6) + 0.0 AS score
+FROM d LEFT JOIN l USING (r)
+"""
+
+
 def _crc32_table() -> list[int]:
     """The 256 steps of CRC-32, from its polynomial."""
     out = list(range(256))
@@ -196,4 +214,4 @@ FROM placed JOIN crc USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": _OP3, "op4_sampled_splitters": _OP4, "op1_raked_mixing": _OP1, "op2_prefix_target_chat": _OP2, "op9_prefix_filtered_decontamination": _OP9}
+    return {"op8_cross_entropy_difference": _OP8, "op3_ngram_jaccard_join": _OP3, "op4_sampled_splitters": _OP4, "op1_raked_mixing": _OP1, "op2_prefix_target_chat": _OP2, "op9_prefix_filtered_decontamination": _OP9}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +20,11 @@ BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset and all runs in one process (tests), a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir: must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvern-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -54,6 +57,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt_to(spark: SparkSession, n: int) -> np.ndarray:
+    """n longs: what is dealt to n partitions by a hash of the k-th one comes to partition k.  Dealt by k itself, some would get several."""
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+    keys = np.arange(n, dtype=np.int64)
+    keys[[r["at"] for r in found]] = [r["id"] for r in found]
+    return keys
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the folds; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -93,7 +104,10 @@ def runs(values: np.ndarray) -> np.ndarray:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers what a Python worker gets at once to BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more: texts can be long."""
+    """Lowers what a Python worker gets at once to BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more: texts can be long.
+
+    The plan reads these when it runs, which is after the caller has its DataFrame, so they stay lowered.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is not None and (not now.isdigit() or int(now) <= 0 or int(now) > most):
@@ -178,3 +192,12 @@ def components(edges: DataFrame) -> DataFrame:
         if not moved:
             give_back()
             return state
+
+
+def bisected(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the value."""
+    if not bounds:
+        return F.lit(0)
+    table = F.lit(bounds).cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))

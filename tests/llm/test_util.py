@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kvern.llm import util
 
@@ -35,3 +36,15 @@ def test_batches_are_bounded(spark):
         assert int(spark.conf.get(key)) == util.BATCH_ROWS
     finally:
         spark.conf.set(key, before)
+
+
+def test_dealt_to_gives_each_partition_its_own(spark):
+    for n in (1, 7, 64):
+        df = spark.createDataFrame([(int(k),) for k in util.dealt_to(spark, n)], "k long").repartition(n, "k")
+        assert sorted(r[0] for r in df.select(F.spark_partition_id()).collect()) == list(range(n))
+
+
+def test_bisected(spark):
+    for bounds in ([], [3], [1, 1, 4, 9], list(range(0, 100, 3))):
+        got = {r["id"]: r["n"] for r in spark.range(-2, 110).select("id", util.bisected(F.col("id"), bounds).alias("n")).collect()}
+        assert got == {k: sum(b <= k for b in bounds) for k in range(-2, 110)}
