@@ -6,8 +6,8 @@
     are sorted by, so that a passage many documents share is the last thing that makes two of them meet.
 3.  Two sets with a Jaccard similarity of t or more share a shingle among the first
     size - ceil(t * size) + 1 of each: only those are dealt out.  No such pair is missed.  The classes
-    that share one form a unit; a frequent shingle's classes are dealt to blocks, a unit for each two
-    blocks, so that no task gets a whole group.
+    that share one form a unit; the classes of the most frequent shingles are dealt to blocks, a unit for each two
+    blocks, and any other unit that turns out large is divided in the same way: no task gets a whole group.
 4.  In a unit, MinHash values are compared a few at a time, and a pair is dropped once the posterior
     probability that its similarity reaches t is below `tolerance`.  What is left links
     classes to families (only a spanning forest leaves a unit, never all pairs).
@@ -35,8 +35,11 @@ STEP = 8
 BLOCK, VERIFY_BLOCK = 512, 256
 #: Shingles of a block's sets, about.
 VERIFY_SHINGLES = 1 << 18
-#: A shingle of at least so many documents has a place of its own in the order; of those, so many at most are held (16 bytes each), the most frequent.
-FREQUENT, FREQUENT_HELD = 64, 1 << 18
+#: A shingle of at least so many documents has a place of its own in the order; of those, so many at most are held (16 bytes each), the
+#: most frequent.  Any other one has less than 1 / FREQUENT_HELD of all shingles; its unit is divided once its size is known.
+FREQUENT, FREQUENT_HELD = 64, 1 << 20
+#: Shingles are counted by so many bits of their hash: an order depends on the counts, and how units are divided, not what is found.
+COUNTED_BITS = 48
 #: Rows that are broadcast at most (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1 << 20
 COLUMNS = 2048
@@ -48,15 +51,27 @@ def _sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return textvec.distinct(*textvec.shingles(textvec.words(data, bounds), n))
 
 
-def class_keys(hashes: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key of each text's set, and the set's size; texts with the same set have the same key."""
+def set_keys(hashes: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each text's set, independent of each other, and the set's size; texts with the same set have the same keys."""
     size = np.bincount(row, minlength=texts)
-    key = np.zeros(texts, np.uint64)
     bounds = runs(row)
-    if len(row):
-        with np.errstate(over="ignore"):
-            key[row[bounds[:-1]]] = np.add.reduceat(textvec.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds[:-1])
-    return textvec.mix(key + size.astype(np.uint64)).view(np.int64), size
+    keys = []
+    for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B):
+        key = np.zeros(texts, np.uint64)
+        if len(row):
+            with np.errstate(over="ignore"):
+                key[row[bounds[:-1]]] = np.add.reduceat(textvec.mix(hashes ^ np.uint64(salt)), bounds[:-1])
+        keys.append(textvec.mix(key + size.astype(np.uint64)))
+    return keys[0].view(np.int64), keys[1].view(np.int64), size
+
+
+def class_keys(hashes: np.ndarray, row: np.ndarray, texts: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each text's class, and the set's size; `shared`: first keys (sorted) that different sets have, which the second ones tell apart."""
+    key, second, size = set_keys(hashes, row, texts)
+    if len(shared):
+        both = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
+        key = np.where(both, second, key)
+    return key, size
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -93,20 +108,37 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, n: int) -> DataFrame:
-    """id, text_key, key (null where a text has no word), size, signature of every document."""
+    """id, text_key, key (null where a text has no word), second key, size, signature of every document."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, data, bounds in textvec.chunks(batch.column("text")):
             hashes, row = _sets(data, bounds, n)
-            key, size = class_keys(hashes, row, last - first)
+            key, second, size = set_keys(hashes, row, last - first)
             sig = np.zeros((last - first, HASHES), np.uint8)
             if len(row):
                 cut = runs(row)
                 sig[row[cut[:-1]]] = signatures(hashes, cut)
             same = [batch.column(c).slice(first, last - first) for c in ("id", "text_key")]
-            yield pa.record_batch([*same, pa.array(key, mask=size == 0), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "text_key", "key", "size", "sig"])
+            yield pa.record_batch([*same, pa.array(key, mask=size == 0), pa.array(second), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "text_key", "key", "second", "size", "sig"])
+
+    return in_arrow(docs, run, "id long, text_key long, key long, second long, size long, sig binary")
+
 
-    return in_arrow(docs, run, "id long, text_key long, key long, size long, sig binary")
+def _classes(own: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """own with the keys of its classes, the classes (key, id, copies, size, sig), and the first keys that different sets share (as good as always none)."""
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        apart = [F.min("second").alias("lo"), F.max("second").alias("hi")]
+        return written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"), *apart))
+
+    classes = grouped(own)
+    # Of n different sets, n * n / 2 ** 65 pairs at most are expected here.
+    shared = np.sort(np.array([r["key"] for r in classes.where("lo <> hi").select("key").collect()], np.int64))
+    if len(shared):
+        again = own.sparkSession.createDataFrame([(int(k),) for k in shared], "key long")
+        own = written(own.join(F.broadcast(again.withColumn("both", F.lit(True))), "key", "left").withColumn("key", F.when(F.col("both"), F.col("second")).otherwise(F.col("key"))).drop("both"))
+        classes = grouped(own)
+    return own, classes, shared
 
 
 def _parts(spark: SparkSession) -> int:
@@ -114,41 +146,43 @@ def _parts(spark: SparkSession) -> int:
 
 
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The upper 32 bits of frequent shingles, sorted, and how many documents have each.
+    """The upper COUNTED_BITS bits of frequent shingles, sorted, and how many documents have each.
 
     Counted over all documents: each task deals its shingles, packed, to the parts of the range of hashes.
-    Only an order and the number of blocks depend on these counts, so that 32 bits do.
     """
-    parts = _parts(docs.sparkSession)
+    parts, low = _parts(docs.sparkSession), np.uint64(32)
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        got = [(_sets(data, bounds, n)[0] >> np.uint64(32)).astype(np.uint32) for _, _, data, bounds in textvec.chunks(batch.column("text"))]
-        have = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint32)
-        part = (have.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+        got = [_sets(data, bounds, n)[0] >> np.uint64(64 - COUNTED_BITS) for _, _, data, bounds in textvec.chunks(batch.column("text"))]
+        have = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+        part = ((have >> np.uint64(COUNTED_BITS - 32)) * np.uint64(parts)) >> low
         at = np.searchsorted(part, np.arange(parts + 1))
         keep = np.flatnonzero(np.diff(at))
-        yield pa.record_batch([pa.array(keep, pa.int32()), pa.array([have[at[p] : at[p + 1]].tobytes() for p in keep], pa.binary())], ["part", "have"])
+        # In order, the high bits come in runs, which compress to little.
+        planes = (have >> low).astype("<u2"), have.astype("<u4")
+        yield pa.record_batch([pa.array(keep, pa.int32()), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in keep], pa.binary()) for x in planes)], ["part", "high", "low"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in streamed(batches, "part"):
             part = numbers(table["part"].combine_chunks(), "i8")
-            have = table["have"].to_pylist()
+            planes = [table[c].to_pylist() for c in ("high", "low")]
             cut = runs(part)
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                value, times = np.unique(np.frombuffer(b"".join(have[lo:hi]), np.uint32), return_counts=True)
+                high, rest = (np.frombuffer(b"".join(x[lo:hi]), t).astype(np.uint64) for x, t in zip(planes, ("<u2", "<u4"), strict=True))
+                value, times = np.unique((high << low) | rest, return_counts=True)
                 often = times >= FREQUENT
-                yield pa.record_batch([pa.array(value[often], pa.int64()), pa.array(times[often], pa.int64())], ["value", "times"])
+                yield pa.record_batch([pa.array(value[often].view(np.int64)), pa.array(times[often], pa.int64())], ["value", "times"])
 
-    dealt = in_arrow(docs.select("text"), deal, "part int, have binary").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
+    dealt = in_arrow(docs.select("text"), deal, "part int, high binary, low binary").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
     most = mapped(dealt, count, "value long, times long").orderBy(F.desc("times"), "value").limit(FREQUENT_HELD).toPandas().sort_values("value")
-    return most["value"].to_numpy(np.uint32), most["times"].to_numpy(np.int64)
+    return most["value"].to_numpy(np.uint64), most["times"].to_numpy(np.int64)
 
 
 def _ordered(hashes: np.ndarray, row: np.ndarray, value: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sets (texts in order) with each set's shingles from rare to frequent, and how many documents have each (0: few)."""
     often = np.zeros(len(hashes), np.int64)
     if len(value):
-        upper = (hashes >> np.uint64(32)).astype(np.uint32)
+        upper = hashes >> np.uint64(64 - COUNTED_BITS)
         at = np.minimum(np.searchsorted(value, upper), len(value) - 1)
         often = np.where(value[at] == upper, times[at], 0)
     if often.any():
@@ -157,7 +191,7 @@ def _ordered(hashes: np.ndarray, row: np.ndarray, value: np.ndarray, times: np.n
     return hashes, row, often
 
 
-def _units(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def _units(docs: DataFrame, n: int, threshold: float, shared: np.ndarray) -> DataFrame:
     """(unit, side, key) of the classes that meet in a shingle of their prefixes; a pair of side 1 and 1 isn't asked for."""
     spark = docs.sparkSession
     parts = _parts(spark)
@@ -167,7 +201,7 @@ def _units(docs: DataFrame, n: int, threshold: float) -> DataFrame:
         got: list[tuple[np.ndarray, ...]] = []
         for first, last, data, bounds in textvec.chunks(batch.column("text")):
             hashes, row = _sets(data, bounds, n)
-            key, size = class_keys(hashes, row, last - first)
+            key, size = class_keys(hashes, row, last - first, shared)
             hashes, row, often = _ordered(hashes, row, *frequent.value)
             place = np.arange(len(row)) - np.searchsorted(row, np.arange(last - first))[row]
             keep = place < prefix_length(size, threshold)[row]
@@ -212,7 +246,21 @@ def _units(docs: DataFrame, n: int, threshold: float) -> DataFrame:
                     yield pa.record_batch([pa.array(unit[at:to].view(np.int64)), pa.array(side[at:to], pa.int32()), pa.array(key[at:to])], ["unit", "side", "key"])
 
     dealt = in_arrow(docs.select("text"), deal, "part int, unit binary, side binary, key binary").repartition(partitions(spark), "part").sortWithinPartitions("part")
-    return mapped(dealt, meet, "unit long, side int, key long")
+    return _divided(written(mapped(dealt, meet, "unit long, side int, key long")))
+
+
+def _divided(units: DataFrame) -> DataFrame:
+    """units, with those that turned out larger than two blocks as units of two blocks each."""
+    large = written(units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("side").alias("most")).where((F.col("n") > 2 * BLOCK) & (F.col("most") == 1)).select("unit", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    found = large.count()
+    if not found:
+        return units
+    dealt = units.join(F.broadcast(large) if found <= BROADCAST_ROWS else large, "unit", "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")))
+    side = F.when(F.col("blocks") == 1, F.col("side")).when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
+    return dealt.select(unit.alias("unit"), side.alias("side"), "key")
 
 
 def _survivors(units: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -252,7 +300,7 @@ def _survivors(units: DataFrame, classes: DataFrame, threshold: float, tolerance
     return mapped(dealt, prune, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int, threshold: float) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int, threshold: float, shared: np.ndarray) -> DataFrame:
     """(key, links, other): how many documents of other classes a class is linked to, in one unit each; other: a spanning forest of the links."""
     spark = docs.sparkSession
     members = written(families.select(F.col("node").alias("key"), "root").join(classes.select("key", "id", "copies", "size"), "key"))
@@ -263,7 +311,7 @@ def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int,
     def tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, data, bounds in textvec.chunks(batch.column("text")):
             hashes, row = _sets(data, bounds, n)
-            mine = class_keys(hashes, row, last - first)[0]
+            mine = class_keys(hashes, row, last - first, shared)[0]
             asked = batch.column("key").slice(first, last - first)
             at = np.searchsorted(row, np.arange(last - first + 1))
             keep = np.flatnonzero(mine == numbers(asked, "i8"))
@@ -324,10 +372,9 @@ def _classified(docs: DataFrame, threshold: float, n: int, tolerance: float, id_
     if not math.isfinite(threshold) or not 0 < threshold <= 1:
         raise ValueError("threshold: above 0, 1 at most")
     read = docs.select(*_keyed(id_column, text_column), F.col(text_column).alias("text"))
-    own = written(_documents(read, n))
-    classes = written(own.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")))
-    families = components(written(_survivors(_units(read, n, threshold), classes, threshold, tolerance)))
-    links = written(_verified(read, classes, families, n, threshold))
+    own, classes, shared = _classes(written(_documents(read, n)))
+    families = components(written(_survivors(_units(read, n, threshold, shared), classes, threshold, tolerance)))
+    links = written(_verified(read, classes, families, n, threshold, shared))
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
     rooted = classes.select("key", "id", "copies").join(roots, "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -108,3 +108,36 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(101)}, 200: 200, 300: 200, 250: 200}
     a, b = np.array([5, 3, 1, 7]), np.array([3, 1, 0, 6])
     assert list(labels_of(a, b, 8)) == [0, 0, 2, 0, 4, 0, 6, 6]
+
+
+def test_units_of_shingles_that_are_not_held_are_divided(spark, monkeypatch):
+    """More shingles are frequent than are held: by their real size, units still have two blocks at most, about."""
+    rng = random.Random(7)
+    texts = [t for _ in range(3) for t in set(family(rng, 200, 60, 12))]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    want = brute([tuple(r) for r in df.collect()])
+    monkeypatch.setattr(nj, "BLOCK", 16)
+    monkeypatch.setattr(nj, "FREQUENT_HELD", 1)
+    read = df.select(*nj._keyed("doc_id", "text"), "text")
+    units = nj._units(read, 5, 0.8, np.zeros(0, np.int64))
+    assert max(r["count"] for r in units.groupBy("unit").count().collect()) <= 3 * 16
+    assert joined(df) == want
+
+
+def test_sets_that_share_a_first_key_are_told_apart(spark, monkeypatch):
+    real = nj.set_keys
+
+    def few(hashes, row, texts):
+        key, second, size = real(hashes, row, texts)
+        return key & 3, second, size
+
+    def keyed(hashes, row, texts, shared):
+        key, second, size = few(hashes, row, texts)
+        return np.where(np.isin(key, shared), second, key), size
+
+    monkeypatch.setattr(nj, "set_keys", few)
+    monkeypatch.setattr(nj, "class_keys", keyed)
+    rng = random.Random(11)
+    texts = [*family(rng, 20), *family(rng, 10, 30, 1), *(prose(rng, 30) for _ in range(10)), ""]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert joined(df) == brute([tuple(r) for r in df.collect()])
