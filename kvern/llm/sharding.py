@@ -3,8 +3,8 @@
 Records are ordered by a hash of their text, then by id.  Keys are drawn with a chance in proportion to
 their size, and quantiles of the draw bound many small ranges (far more than shards).  A range that
 turns out overfull is subdivided by a draw of its own, also between the ids of one text's copies.  The exact
-bytes of all ranges then place the cuts between shards exactly: the draw decides how work is dealt,
-never what a shard holds.
+rows and bytes of all ranges then give each record its place among all, and place the cuts between shards exactly, between
+repeated rows too: the draw decides how work is dealt, never what a shard holds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvern.llm.util import written
+from kvern.llm.util import bisected, written
 
 LEAST = -(1 << 63)
 #: Ranges for each shard at least; bytes of a range, about, as long as there are no more than RANGES_MOST of them (their sums reach the driver).
@@ -23,8 +23,6 @@ RANGES, RANGE_BYTES, RANGES_MOST = 32, 128 << 20, 1 << 16
 DRAWS = 32
 #: A range with more than so many times its share is subdivided, in so many rounds at most.
 OVERFULL, ROUNDS = 2, 4
-#: A group of equal texts of at most this part of a shard is not cut.
-WHOLE_GROUP = 0.01
 
 
 def size_of(text: Column) -> Column:
@@ -91,67 +89,66 @@ def _place(splitters: pd.DataFrame, keys: pd.DataFrame) -> np.ndarray:
     return _range_of(splitters).func(keys["h"], keys["id"]).to_numpy()
 
 
-def _not_before(h: Column, id_: Column, key: tuple[int, int]) -> Column:
-    return (h > key[0]) | ((h == key[0]) & (id_ >= key[1]))
+def _cuts(keys: DataFrame, sums: pd.DataFrame, total: int, shards: int, whole: float) -> list[int]:
+    """The place, among all records, of the first one of each shard after the first: where the middle of a record passes k / shards of all bytes.
 
-
-def _cuts(keys: DataFrame, sums: pd.DataFrame, total: int, shards: int) -> list[tuple[int, int]]:
-    """The first key of each shard after the first: where the middle of a record passes k / shards of all bytes.
-
-    A group of equal texts that a cut would divide stays whole on the side that it leans to, if it is small.
+    A group of equal texts that a cut would divide stays together on the side that it leans to, if it has no more than `whole` of a shard.
     """
-    before = keys.sparkSession.createDataFrame(sums[["range", "before"]])
-    run = F.sum("size").over(Window.partitionBy("range").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = keys.join(F.broadcast(before), "range").select("h", "id", "size", (run - F.col("size") + F.col("before")).alias("at"))
+    before = keys.sparkSession.createDataFrame(sums[["range", "before", "first"]].astype("int64"), "range int, before long, first long")
+    w = Window.partitionBy("range").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keys.withColumns({"run": F.sum("size").over(w), "rank": F.count(F.lit(1)).over(w)}).join(F.broadcast(before), "range")
+    placed = placed.select("h", "size", (F.col("run") - F.col("size") + F.col("before")).alias("at"), (F.col("rank") - 1 + F.col("first")).alias("place"))
     shard = F.expr(f"((2 * at + size) * {shards}) div {2 * total}").cast("int")
-    first = placed.withColumn("shard", shard).groupBy("shard").agg(F.min(F.struct("h", "id")).alias("key")).orderBy("shard").collect()
-    found = {r["shard"]: (r["key"]["h"], r["key"]["id"]) for r in first}
-    heads = [h for h, _ in found.values()]
-    groups = {r["h"]: r for r in placed.where(F.col("h").isin(heads)).groupBy("h").agg(F.min("at").alias("lo"), F.sum("size").alias("bytes")).collect()}
-    cuts: list[tuple[int, int]] = []
+    # A row for each shard.
+    first = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("place", "h")).alias("x")).orderBy("shard").collect()
+    found = {r["shard"]: (r["x"]["place"], r["x"]["h"]) for r in first}
+    heads = [h for _, h in found.values()]
+    groups = {r["h"]: r for r in placed.where(F.col("h").isin(heads)).groupBy("h").agg(F.min("at").alias("lo"), F.sum("size").alias("bytes"), F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).collect()}
+    end = int((sums["first"] + sums["n"]).max())
+    cuts: list[int] = []
     for k in range(1, shards):
-        key = next((found[s] for s in range(k, shards) if s in found), (1 << 60, LEAST))
-        if key[0] in groups and (g := groups[key[0]])["bytes"] <= WHOLE_GROUP * total / shards:
-            key = (key[0], LEAST) if 2 * g["lo"] + g["bytes"] >= 2 * k * total // shards else (key[0] + 1, LEAST)
-        cuts.append(max(key, cuts[-1]) if cuts else key)
+        place, h = next((found[s] for s in range(k, shards) if s in found), (end, None))
+        if h in groups and (g := groups[h])["bytes"] <= whole * total / shards:
+            place = g["place"] if 2 * g["lo"] + g["bytes"] >= 2 * k * total // shards else g["place"] + g["n"]
+        cuts.append(max(place, cuts[-1]) if cuts else place)
     return cuts
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text", whole: float = 0.01) -> DataFrame:
     """All rows and columns of docs, with `shard` (0 to shards - 1) and `slot` (0, 1, ... within the shard).
 
     Shards have near-equal bytes, a record counting its UTF-8 bytes plus 1.  A null text counts as empty, a
-    null id as the least one.  Copies of a text are neighbours, and in one shard unless together they are more
-    than a hundredth of it.  Rows with the same id and text are interchangeable and stay in one shard;
-    slots follow (hash of the text, id).  An empty table gives no row.  Columns of docs named shard, slot
-    are replaced.
+    null id as the least one.  Copies of a text are neighbours; a group of copies that has no more than `whole` of a shard's
+    bytes is in one shard, and by no more than that do shards differ.  With whole=0 every cut falls
+    where it divides the bytes best.  Rows with the same id and text are interchangeable; they are dealt to one
+    range, and may be in several shards.  Slots follow (hash of the text, id).  An empty table gives no row.  Columns of docs
+    named shard, slot are replaced.
     """
     if shards < 1:
         raise ValueError("shards: 1 at least")
+    if not 0 <= whole <= 1:
+        raise ValueError("whole: 0 to 1")
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     id_, text = F.coalesce(F.col(id_column).cast("long"), F.lit(LEAST)), F.col(text_column)
     keys = written(docs.select(order_key(text).alias("h"), id_.alias("id"), size_of(text).alias("size")))
     total = keys.agg(F.sum("size")).first()[0] or 0
+    if not total:
+        return docs.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     ranges = max(RANGES * shards, min(-(-total // RANGE_BYTES), RANGES_MOST))
-    splitters = _splitters(keys, total, ranges) if total else pd.DataFrame({"h": [], "id": []})
-    place = _range_of(splitters)
+    place = _range_of(_splitters(keys, total, ranges))
     ranged = keys.withColumn("range", place("h", "id"))
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).toPandas().sort_values("range")
-    sums["before"] = sums["bytes"].cumsum() - sums["bytes"]
-    cuts = _cuts(ranged, sums, total, shards) if total else []
-
-    def shard_at(h: Column, i: Column) -> Column:
-        return sum((F.when(_not_before(h, i, c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-
-    cells = ranged.groupBy(shard_at(F.col("h"), F.col("id")).alias("shard"), "range").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["shard", "range"])
-    cells["first"] = cells.groupby("shard")["n"].cumsum() - cells["n"]
-    offsets = spark.createDataFrame(cells[["shard", "range", "first"]].astype("int64"), "shard int, __kvern_range int, __kvern_first long") if len(cells) else spark.createDataFrame([], "shard int, __kvern_range int, __kvern_first long")
-    keyed = docs.withColumn("__kvern_h", order_key(text)).withColumn("__kvern_id", id_).withColumn("__kvern_range", place("__kvern_h", "__kvern_id")).withColumn("shard", shard_at(F.col("__kvern_h"), F.col("__kvern_id")))
-    rank = F.row_number().over(Window.partitionBy("shard", "__kvern_range").orderBy("__kvern_h", "__kvern_id"))
-    # A row for each range and shard: bounded by RANGES_MOST and the overfull ranges' pieces, which are no more.
-    numbered = keyed.withColumn("__kvern_rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "__kvern_range"])
-    return numbered.select(*docs.columns, "shard", (F.col("__kvern_first") + F.col("__kvern_rank") - 1).alias("slot"))
+    # A row for each range: bounded by RANGES_MOST and the overfull ranges' pieces, which are no more.
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("range")
+    sums["before"], sums["first"] = sums["bytes"].cumsum() - sums["bytes"], sums["n"].cumsum() - sums["n"]
+    starts = [0, *_cuts(ranged, sums, total, shards, whole)]
+    offsets = spark.createDataFrame(sums[["range", "first"]].astype("int64"), "__kvern_range int, __kvern_first long")
+    keyed = docs.withColumn("__kvern_h", order_key(text)).withColumn("__kvern_id", id_).withColumn("__kvern_range", place("__kvern_h", "__kvern_id"))
+    rank = F.row_number().over(Window.partitionBy("__kvern_range").orderBy("__kvern_h", "__kvern_id"))
+    numbered = keyed.withColumn("__kvern_rank", rank.cast("long")).join(F.broadcast(offsets), "__kvern_range")
+    numbered = numbered.withColumn("__kvern_place", F.col("__kvern_first") + F.col("__kvern_rank") - 1)
+    numbered = numbered.withColumn("shard", bisected(F.col("__kvern_place"), starts) - 1)
+    return numbered.select(*docs.columns, "shard", (F.col("__kvern_place") - F.get(F.lit(starts).cast("array<bigint>"), F.col("shard"))).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -62,3 +62,19 @@ def test_odd_rows(odd, odd_rows, none, tmp_path):
     assert odd.sparkSession.read.parquet(str(tmp_path / "s")).count() == len(odd_rows)
     with pytest.raises(ValueError):
         sharding.shard_documents(odd, 0)
+
+
+def test_repeated_rows_are_divided(spark):
+    """Half of the rows are one row: shards are as even as without repeats."""
+    rng = random.Random(4)
+    rows = [(7, "a row that comes again", None, None, None)] * 1500 + [(k, prose(rng, 4), None, None, None) for k in range(1500)]
+    by = check(rows, placed(spark.createDataFrame(rows, SCHEMA).repartition(3), 16), 16)
+    assert len(by) == 16 and sum(any(r[0] == 7 for r in part) for part in by.values()) > 4
+
+
+def test_without_whole_groups_cuts_are_where_bytes_divide(spark):
+    rows = [(k, f"text {k // 20}", None, None, None) for k in range(400)]
+    got = [(r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 7, whole=0.0).collect()]
+    check(rows, got, 7, tolerance=0)
+    with pytest.raises(ValueError):
+        sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 7, whole=2)
