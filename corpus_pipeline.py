@@ -15,7 +15,7 @@ SHARDS = 16
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5; it learns from the labels of these documents."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model, into="__score").where("__score < 0.5").select(*docs.columns)
+    return toxicity.score_documents(docs, model, into="__kvern_score").where("__kvern_score < 0.5").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

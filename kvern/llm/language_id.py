@@ -8,6 +8,7 @@ centroid is rejected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import id_fold, in_arrow, mapped, written
+from kvern.llm.util import id_fold, in_arrow, mapped, numbers, written
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 DIMENSIONS = 4096
-#: Training texts of a language, about; centroids of a language; rounds of clustering.
+#: Different training texts of a language, about; centroids of a language; rounds of clustering.
 TRAIN_ROWS, CENTROIDS, ROUNDS = 1000, 4, 12
 #: Languages at most (a centroid takes 16 KB on every executor).
 LANGUAGES = 1000
@@ -83,8 +84,18 @@ def small_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
             yield first + a, first + b, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of normalised vectors by cosine, and the centroid of each; a start far from those before, then rounds."""
+def quantile(values: np.ndarray, times: np.ndarray, q: float) -> float:
+    """The quantile of values that come so many times each."""
+    order = np.argsort(values)
+    upto = np.cumsum(times[order])
+    at = q * (upto[-1] - 1)
+    low, high = (values[order[np.searchsorted(upto, i, "right")]] for i in (math.floor(at), math.ceil(at)))
+    return float(low + (high - low) * (at - math.floor(at)))
+
+
+def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of normalised vectors, each there so many times, by cosine, and the centroid of each; a start far from those before, then rounds."""
+    weighed = x if times is None else x * times[:, None].astype(x.dtype)
     start = [0]
     near = x @ x[0]
     while len(start) < min(k, len(x)):
@@ -93,15 +104,23 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
     c = x[start]
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
-        c = np.stack([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))])
+        c = np.stack([weighed[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c, (x @ c.T).argmax(1)
 
 
-def train(docs: DataFrame, usable: Column | None = None, lang: str = "lang", text_column: str = "text", id_column: str = "doc_id") -> Model:
-    """A model from documents with a language (and `usable`): TRAIN_ROWS of each language, chosen by a hash of the id.
+def _sample(read: DataFrame, have: list, lang: str, text_column: str) -> DataFrame:
+    """(lang, text, times): different texts, TRAIN_ROWS of each language at most, about; have: rows (lang, n) of all languages."""
+    rate = F.create_map(*[F.lit(x) for r in have for x in (r["lang"], TRAIN_ROWS / r["n"])])
+    luck = F.pmod(F.xxhash64(text_column, F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
+    return read.where(luck < rate[F.col(lang)]).groupBy(F.col(lang).alias("lang"), F.col(text_column).alias("text")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def train(docs: DataFrame, usable: Column | None = None, lang: str = "lang", text_column: str = "text") -> Model:
+    """A model from documents with a language (and `usable`): those of about TRAIN_ROWS rows of each language, chosen by a hash of the text.
 
-    Texts without a letter teach nothing.  More than LANGUAGES languages are an error.
+    A text that many rows have, whatever their ids, is one row of the sample with their number.  Texts without a letter
+    teach nothing.  More than LANGUAGES languages are an error.
     """
     read = docs.where(F.col(lang).isNotNull() & F.col(text_column).isNotNull())
     if usable is not None:
@@ -111,37 +130,36 @@ def train(docs: DataFrame, usable: Column | None = None, lang: str = "lang", tex
         raise ValueError(f"more than {LANGUAGES} languages")
     if not have:
         return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))
-    rate = F.create_map(*[F.lit(x) for r in have for x in (r["lang"], TRAIN_ROWS / r["n"])])
-    luck = F.pmod(F.xxhash64(id_column, F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
-    few = read.where(luck < rate[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text_column).alias("text"))
+    few = _sample(read, have, lang, text_column)
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, data, bounds in small_chunks(batch.column("text")):
-            tf = np.minimum(counts(data, bounds), 65535).astype("<u2")
+            tf = counts(data, bounds)
             keep = np.flatnonzero(has_letter(batch.column("text").slice(first, last - first), data, bounds))
-            yield pa.record_batch([batch.column("lang").slice(first, last - first).take(pa.array(keep)), pa.array([tf[i].tobytes() for i in keep], pa.binary())], ["lang", "tf"])
+            yield pa.record_batch([*(batch.column(c).slice(first, last - first).take(pa.array(keep)) for c in ("lang", "times")), pa.array([tf[i].astype("<f4").tobytes() for i in keep], pa.binary())], ["lang", "times", "tf"])
 
-    sample = written(in_arrow(few, count, "lang string, tf binary"))
+    sample = written(in_arrow(few, count, "lang string, times long, tf binary"))
 
     def read_tf(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, DIMENSIONS).astype(np.float32)
+        return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, DIMENSIONS)
 
     def document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                tf = read_tf(batch.column("tf").slice(at, TEXTS_AT_ONCE))
-                df, n = df + (tf > 0).sum(0), n + len(tf)
+                tf, times = read_tf(batch.column("tf").slice(at, TEXTS_AT_ONCE)), numbers(batch.column("times").slice(at, TEXTS_AT_ONCE), "i8")
+                df, n = df + times @ (tf > 0), n + int(times.sum())
         yield pa.record_batch([pa.array(np.arange(DIMENSIONS)), pa.array(df), pa.array(np.full(DIMENSIONS, n))], ["place", "df", "n"])
 
-    df = mapped(sample.select("tf"), document_frequency, "place long, df long, n long").groupBy("place").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).toPandas().sort_values("place")
+    df = mapped(sample.select("tf", "times"), document_frequency, "place long, df long, n long").groupBy("place").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).toPandas().sort_values("place")
     idf = (np.log((1 + df["n"]) / (1 + df["df"])) + 1).to_numpy(np.float32) if len(df) else np.ones(DIMENSIONS, np.float32)
 
     def centroids(table: pa.Table) -> pa.Table:
         x = vectors(read_tf(table["tf"].combine_chunks()), idf)
-        x = x[np.lexsort(x[:, :8].T)]  # the order in which rows arrive doesn't matter
-        c, own = cluster(x, CENTROIDS)
-        far = [float(np.quantile(1 - x[own == j] @ c[j], QUANTILE)) if (own == j).any() else 0.0 for j in range(len(c))]
+        order = np.lexsort(x[:, :8].T)  # the order in which rows arrive doesn't matter
+        x, times = x[order], numbers(table["times"].combine_chunks(), "i8")[order]
+        c, own = cluster(x, CENTROIDS, times=times)
+        far = [quantile(1 - x[own == j] @ c[j], times[own == j], QUANTILE) if (own == j).any() else 0.0 for j in range(len(c))]
         return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(c)), "centroid": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary()), "radius": pa.array(far, pa.float64())})
 
     got = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, radius double").toPandas().sort_values(["lang", "centroid"])

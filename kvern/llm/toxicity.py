@@ -13,16 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
-from kvern.llm.util import bounded_batches, give_back, id_fold, in_arrow
+from kvern.llm.util import bounded_batches, give_back, id_fold, in_arrow, written
 
 BITS = 20
 FOLDS = 5
-#: Labelled rows that the fit takes at most, of each class; they are chosen by a hash of the id.
-TRAIN_ROWS = 4000
+#: Labelled documents that the fit takes at most, of each class, and bytes of their texts, about; they are chosen by a hash of the id.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 16.0, 1.0, 4
 #: The part of the loss that label 1 has.
 SHARE = 0.4
@@ -98,18 +98,27 @@ def scores(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text", folds: int = FOLDS) -> Model:
-    """A model from labelled documents outside the held-out fold: TRAIN_ROWS rows of each label at most.
-
-    Labels other than 0 and 1, and null ids, are left out; an id that is labelled several times counts with
-    its highest label.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text_column: str, folds: int) -> DataFrame:
+    """(id, text, y) of the documents that the fit takes, each id once."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull() & (id_fold(F.col(id_column), folds) != 0))
-    known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label).alias("y"))
+    known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("y"))
     luck = F.xxhash64("id", F.lit("train"))
     drawn = [known.where(F.col("y") == y).orderBy(luck, "id").limit(TRAIN_ROWS) for y in (0, 1)]
     few = drawn[0].unionByName(drawn[1])  # 2 * TRAIN_ROWS rows at most
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(few), "id").select("id", "text", F.col("y").cast("int").alias("y"))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(few), "id")
+    once = written(rows.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("y").orderBy(luck, "id").rowsBetween(Window.unboundedPreceding, -1))
+    kept = once.select("id", "y", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < TRAIN_BYTES)
+    return once.join(F.broadcast(kept.select("id")), "id").select("id", "text", "y")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text", folds: int = FOLDS) -> Model:
+    """A model from labelled documents outside the held-out fold: of each label, TRAIN_ROWS ids at most, until their texts have TRAIN_BYTES.
+
+    Labels other than 0 and 1, and null ids, are left out; an id that is labelled several times counts with
+    its highest label, and an id that several rows have with one of their texts.  A null text counts as empty.
+    """
+    texts = _sample(docs, labels, label, id_column, text_column, folds)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, last, data, bounds in textvec.chunks(batch.column("text")):
@@ -127,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
 
 
 def score_documents(docs: DataFrame, model: Model, text_column: str = "text", into: str = "score") -> DataFrame:
-    """All rows and columns of docs, and `score`: 0 to 1, the chance of label 1.  A null text counts as empty; an empty one scores by the intercept."""
+    """All rows and columns of docs, and the column `into`, which is replaced if there is one: 0 to 1, the chance of label 1.
+
+    A null text counts as empty; an empty one scores by the intercept.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
 

@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kvern.llm import textvec
@@ -63,3 +65,45 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert all(len(s) == 1 for s in by.values())
     empty = tx.train(none, labels)
     assert len(empty.places) == 0
+
+
+def test_fit_agrees_with_plain_ftrl():
+    """One coordinate at a time, in dictionaries."""
+    rng = random.Random(5)
+    data = [(np.array(sorted(rng.sample(range(200), rng.randint(1, 30))), np.int64), k % 3 // 2) for k in range(300)]
+    data = [(np.unique(np.append(at, 777)) if y else at, y) for at, y in data]
+    model = tx.fit(data)
+    ones = sum(y for _, y in data)
+    cost = {1: tx.SHARE * len(data) / ones, 0: (1 - tx.SHARE) * len(data) / (len(data) - ones)}
+    z, n, order = {}, {}, np.random.default_rng(1)
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        l1, l2 = (0, 0) if i == "bias" else (tx.L1, tx.L2)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((tx.BETA + math.sqrt(n.get(i, 0.0))) / tx.ALPHA + l2)
+
+    for _ in range(tx.EPOCHS):
+        for k in order.permutation(len(data)):
+            at, y = data[k]
+            w = {i: weight(i) for i in (*at.tolist(), "bias")}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * cost[y]
+            for i, wi in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / tx.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * wi, n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert model.places.tolist() == sorted(want) and 777 in want
+    assert model.weights.tolist() == [pytest.approx(want[i], rel=1e-6) for i in sorted(want)]
+    assert abs(model.bias - weight("bias")) < 1e-6
+
+
+def test_the_sample_is_bounded_whatever_ids_and_texts_there_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(2000)] + [(2, "other"), (3, None), (None, "x")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    ids = [r["id"] for r in tx._sample(docs, labels, "toxic", "doc_id", "text", 10**9).collect()]
+    assert sorted(ids) == [1, 2, 3]
+    monkeypatch.setattr(tx, "TRAIN_ROWS", 1)
+    assert tx._sample(docs, labels, "toxic", "doc_id", "text", 10**9).count() == 2
+    monkeypatch.setattr(tx, "TRAIN_ROWS", 4000)
+    monkeypatch.setattr(tx, "TRAIN_BYTES", 500)
+    many = spark.createDataFrame([(k, "a text of 20 letters") for k in range(300)], "doc_id long, text string")
+    assert tx._sample(many, many.selectExpr("doc_id", "doc_id % 2 as toxic"), "toxic", "doc_id", "text", 10**9).count() == 50
