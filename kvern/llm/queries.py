@@ -17,8 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(_table(spark, sf_dir, "documents"))
-    chance = F.round("__chance", 6).alias("chance")
-    return found.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), chance, F.col("__selected").alias("selected"))
+    chance = F.round("__kvern_chance", 6).alias("chance")
+    return found.select("doc_id", "source", "lang", F.col("__kvern_topic").alias("topic"), F.col("__kvern_tokens").alias("n_tokens"), chance, F.col("__kvern_selected").alias("selected"))
 
 
 #: Added to the conversations: control strings of the template inside texts.
