@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,10 @@ def bucket_count(rows: int, ratio: float = 1.25) -> int:
     if rows < 0 or not ratio > 0:
         raise ValueError("rows: not below 0; ratio: above 0")
     return -int(-(rows * ratio) // 1)
+
+
+def bucket_count_column(rows: Column | str, ratio: float = 1.25) -> Column:
+    """The same for a column of table sizes."""
+    if not ratio > 0:
+        raise ValueError("ratio: above 0")
+    return F.ceil((F.col(rows) if isinstance(rows, str) else rows) * F.lit(ratio)).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _walk(node) -> Iterator:
@@ -35,3 +35,19 @@ def plan_metrics(df: DataFrame) -> list[tuple[str, dict[str, int]]]:
             own[key] = metrics.apply(key).value()
         out.append((node.nodeName(), own))
     return out
+
+
+def task_times(spark: SparkSession, group: str) -> list[tuple[int, int, int]]:
+    """(stage, task, milliseconds that it ran) of all tasks of a job group."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = sorted({s for job in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(job)) for s in info.stageIds if tracker.getStageInfo(s)})
+    out = []
+    for stage in stages:
+        tasks = store.taskList(stage, 0, 1 << 30)
+        for k in range(tasks.size()):
+            metrics = tasks.apply(k).taskMetrics()
+            if metrics.isDefined():
+                out.append((stage, tasks.apply(k).index(), metrics.get().executorRunTime()))
+    return out

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvern import operators as op
-from kvern.functions import in_unit_column, partition_of, tuple_text
+from kvern.functions import in_unit_column, joined_text, lcg_uniform, partition_of, tuple_text
+from kvern.functions.random import MODULUS, MULTIPLIER
 from kvern.operators.partition import placed
-from kvern.plans.report import sweep_table
-from kvern.sources import as_relation, sequential, weights, zipf_grid
+from kvern.plans.report import REPORT_ID, json_column, sweep_table
+from kvern.sources import as_relation, pmf, sequential, weights, zipf, zipf_grid
 
 PARTITIONS, WORKERS = 32, 8
 ZIPF_ROWS, ZIPF_KEYS, ZIPF_SKEW = 100_000, 1000, 1.05
+LCG_ROWS, LCG_SEED = 5000, 123456789
 
 
 def _relation(spark: SparkSession, sf_dir: str, table: str, key: str, payload: str | None = None) -> DataFrame:
@@ -88,7 +90,19 @@ def partition_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.sizes(_orders(spark, sf_dir).where("id < 20"), PARTITIONS)
+    return op.sizes(_orders(spark, sf_dir), PARTITIONS)
+
+
+def partition_sizes_with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More partitions than nations: some are empty."""
+    return op.sizes(_relation(spark, sf_dir, "nation", "n_nationkey"), 2 * PARTITIONS)
+
+
+def radix_partition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders dealt to partitions: each row with how many rows its physical partition's hash class has."""
+    dealt = op.radix_partition(_indexed(spark, sf_dir), PARTITIONS).withColumn("at", F.spark_partition_id())
+    # A key is in one partition: rows are all there, and no key is in two.
+    return dealt.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("partitions"))
 
 
 def partition_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +146,8 @@ def tuple_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relation(spark, sf_dir, "part", "p_partkey", "p_size").select(tuple_text().alias("line"))
 
 
-#: Durations (ns) of some runs, for the report queries: algorithm, phase, duration.
-SAMPLE = [(a, p, 1_000_000 * n + 999) for a, times in (("NoPartitioning", (0, 308, 804)), ("Radix32", (666, 120, 572)), ("Radix1024", (733, 34, 396))) for p, n in zip(("Partition", "Build", "Probe"), times, strict=True)]
+#: Invented durations (ns) of some runs, for the report queries: algorithm, phase, duration.
+SAMPLE = [(a, p, 1_000_000 * n + 999) for a, times in (("NoPartitioning", (0, 21, 1300)), ("Radix32", (450, 7, 90)), ("Radix1024", (1005, 3, 62))) for p, n in zip(("Partition", "Build", "Probe"), times, strict=True)]
 
 
 def _sample(spark: SparkSession) -> DataFrame:
@@ -144,10 +158,48 @@ def phase_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep_table(_sample(spark), ["NoPartitioning", "Radix32", "Radix1024"])
 
 
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of the sample's runs."""
+    runs = _sample(spark).groupBy("algorithm").pivot("phase", ["Partition", "Build", "Probe"]).agg(F.first(in_unit_column("duration", "ms")))
+    named = F.create_map(F.lit("Type"), F.col("algorithm"), F.lit("Skew"), F.lit("1.050000"))
+    return json_column(runs.select(F.lit(REPORT_ID).alias("id"), named.alias("parameters"), *(F.col(p.capitalize()).alias(p) for p in ("partition", "build", "probe"))))
+
+
 def unit_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark).select("algorithm", "phase", *(in_unit_column("duration", u).alias(u) for u in ("ns", "us", "ms", "s")))
 
 
+def joined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined_tuples(spark, sf_dir).select(joined_text().alias("line"))
+
+
+def lcg_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcg_uniform(spark, LCG_ROWS, LCG_SEED).select("id", "state")
+
+
+def zipf_by_lcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skewed keys, looked up in the cumulated distribution by the congruential sequence."""
+    return zipf(spark, LCG_ROWS, ZIPF_SKEW, 1, 100, seed=LCG_SEED, uniform="lcg")
+
+
+def zipf_counts_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 10 000 draws each by either sampler, the keys that come up more often than the key before: none."""
+    drawn = [zipf(spark, 10_000, 0.99, 1, 10, seed=123456789, sampler=s).withColumn("sampler", F.lit(s)) for s in ("table", "rejection")]
+    return drawn[0].unionByName(drawn[1]).groupBy("sampler").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).crossJoin(
+        F.broadcast(op.rising_keys(op.frequency_profile(drawn[0])).unionByName(op.rising_keys(op.frequency_profile(drawn[1]))).agg(F.count(F.lit(1)).alias("rising")))
+    )  # one row
+
+
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets for a table of each supplier's lines, at both default ratios."""
+    lines = _relation(spark, sf_dir, "lineitem", "l_suppkey").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return lines.select("id", op.bucket_count_column("n", 1.25).alias("probing"), op.bucket_count_column("n", 0.25).alias("chaining"))
+
+
+def salted_radix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.matched_count(op.radix(_open_orders(spark, sf_dir), _lines(spark, sf_dir), partitions=PARTITIONS, salt=4))
+
+
 def busiest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as workers, with rows and distinct parts as their durations."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -159,7 +211,8 @@ _QUERIES = (
     no_partitioning_count, no_partitioning_selective, radix_count_32, radix_count_7, radix_count_adaptive, duplicate_build_semi_count,
     duplicate_build_radix_count, joined_tuples, exists_flag, get_first, get_all, partition_assignment, partition_sizes, partition_boundaries,
     worker_histogram, worker_offsets, clustered_layout, partitionwise_match_counts, sequential_relation, zipf_relation_histogram,
-    fk_frequency_profile, tuple_texts, phase_pivot, unit_cast, busiest_worker,
+    fk_frequency_profile, tuple_texts, phase_pivot, unit_cast, busiest_worker, partition_sizes_with_empty, radix_partition_rows, report_json,
+    joined_texts, lcg_sequence, zipf_by_lcg, zipf_counts_rise, bucket_counts, salted_radix_count,
 )
 
 
@@ -189,6 +242,14 @@ u AS (SELECT (i * 48271 + 11) % (SELECT sum(w) FROM g) AS x FROM range({ZIPF_ROW
 SELECT CAST(id AS BIGINT) AS id, count(*) AS n FROM u JOIN c ON x >= low AND x < high GROUP BY 1"""
 
 
+_LCG = f"WITH RECURSIVE r(id, state) AS (SELECT CAST(0 AS BIGINT), CAST({LCG_SEED} AS BIGINT) * {MULTIPLIER} % {MODULUS} UNION ALL SELECT id + 1, state * {MULTIPLIER} % {MODULUS} FROM r WHERE id + 1 < {LCG_ROWS})"
+
+
+def _zipf_lcg_sql() -> str:
+    cumulated = ", ".join(f"({k + 1}, CAST('{float(c)!r}' AS DOUBLE))" for k, c in enumerate(pmf(ZIPF_SKEW, 100).cumsum()))
+    return f"{_LCG}, c(k, high) AS (VALUES {cumulated}) SELECT CAST((SELECT coalesce(min(k), 100) FROM c WHERE high > state / CAST({MODULUS} AS DOUBLE)) AS BIGINT) AS id, id AS payload FROM r"
+
+
 def oracle_sql() -> dict[str, str]:
     sample = ", ".join(f"('{a}', '{p}', {n})" for a, p, n in SAMPLE)
     return {
@@ -204,7 +265,16 @@ def oracle_sql() -> dict[str, str]:
         "get_first": "SELECT o_orderkey AS id, coalesce(min(l_partkey), -1) AS payload, count(l_partkey) AS matches FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
         "get_all": "SELECT o_orderkey AS id, l_partkey AS payload FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'",
         "partition_assignment": f"SELECT o_custkey AS id, o_orderkey AS payload, CAST(o_custkey % {PARTITIONS} AS INTEGER) AS partition FROM orders",
-        "partition_sizes": f"SELECT CAST(p AS INTEGER) AS partition, count(o_orderkey) AS n FROM range({PARTITIONS}) t(p) LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 20) ON o_orderkey % {PARTITIONS} = p GROUP BY 1",
+        "partition_sizes": f"SELECT CAST(p AS INTEGER) AS partition, count(o_orderkey) AS n FROM range({PARTITIONS}) t(p) LEFT JOIN orders ON o_orderkey % {PARTITIONS} = p GROUP BY 1",
+        "partition_sizes_with_empty": f"SELECT CAST(p AS INTEGER) AS partition, count(n_nationkey) AS n FROM range({2 * PARTITIONS}) t(p) LEFT JOIN nation ON n_nationkey % {2 * PARTITIONS} = p GROUP BY 1",
+        "radix_partition_rows": "SELECT o_custkey AS id, count(*) AS n, CAST(1 AS BIGINT) AS partitions FROM orders GROUP BY 1",
+        "report_json": f"""SELECT '{{"id":"{REPORT_ID}","parameters":{{"Skew":"1.050000","Type":"' || a || '"}},"results":{{"partition":"' || max(d // 1000000) FILTER (p = 'Partition') || '","build":"' || max(d // 1000000) FILTER (p = 'Build') || '","probe":"' || max(d // 1000000) FILTER (p = 'Probe') || '"}}}}' AS json FROM (VALUES {sample}) v(a, p, d) GROUP BY a""",
+        "joined_texts": "SELECT concat_ws(', ', o_orderkey, o_custkey, l_partkey) AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+        "lcg_sequence": f"{_LCG} SELECT * FROM r",
+        "zipf_by_lcg": _zipf_lcg_sql(),
+        "zipf_counts_rise": "SELECT s AS sampler, CAST(10000 AS BIGINT) AS n, CAST(1 AS BIGINT) AS least, CAST(10 AS BIGINT) AS most, CAST(0 AS BIGINT) AS rising FROM (VALUES ('table'), ('rejection')) v(s)",
+        "bucket_counts": "SELECT l_suppkey AS id, CAST(ceil(count(*) * 1.25) AS BIGINT) AS probing, CAST(ceil(count(*) * 0.25) AS BIGINT) AS chaining FROM lineitem GROUP BY 1",
+        "salted_radix_count": _OPEN,
         "partition_boundaries": f"""WITH z AS (SELECT CAST(p AS INTEGER) AS partition, count(o_custkey) AS n FROM range({PARTITIONS}) t(p) LEFT JOIN orders ON o_custkey % {PARTITIONS} = p GROUP BY 1)
 SELECT partition, CAST(sum(n) OVER (ORDER BY partition) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY partition) AS BIGINT) AS "end" FROM z""",
         "worker_histogram": f"WITH {_SPLIT}, {_HISTOGRAM} SELECT * FROM h",

@@ -1,6 +1,6 @@
 """Skewed foreign keys.
 
-The skew of this workload is not the textbook's.  With s = 1.001 - alpha (near alpha = 1, s is 0.01 away from
+The skew of this workload is not the textbook's.  With s = PIVOT - alpha (within GAP of alpha = 1, s is GAP away from
 0 on the other side and alpha is 1 - s) and e = s + alpha, key 1 has the weight 1 + max(0, (1 - alpha) / s - 1) and key k the
 weight k**-alpha * (integral of x**(e - 1) from max(k - 1, e**(1 / s)) to k).
 """
@@ -16,22 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvern.config import MIN_SKEW
-from kvern.functions.random import row_uniform
+from kvern.functions.random import lcg_uniform, row_uniform
 
-#: Keys whose distribution is held as a table (8 bytes each on every executor); beyond, keys are drawn by rejection.
+#: Of the distribution (fixed values).
+PIVOT, GAP = 1.001, 0.01
+#: Keys whose distribution is held as a table (8 bytes each on every executor) unless a sampler is named; beyond, keys are drawn by rejection.
 TABLE_KEYS = 1 << 20
+SAMPLERS = ("table", "rejection")
 
 
 def shape(alpha: float) -> tuple[float, float, float, float]:
     """alpha, s, e and the lower bound of the integral."""
     if not alpha >= MIN_SKEW:
         raise ValueError(f"skew: {MIN_SKEW} at least")
-    s = 1.001 - alpha
-    if abs(1.0 - alpha) < 0.01:
-        s = 0.01 if 1.0 - alpha < 0 else -0.01
-        alpha = 1 - s
-    e = s + alpha
-    return alpha, s, e, e ** (1 / s)
+    near = abs(1 - alpha) < GAP
+    s = (GAP if alpha > 1 else -GAP) if near else PIVOT - alpha
+    own = 1 - s if near else alpha
+    return own, s, s + own, (s + own) ** (1 / s)
 
 
 def weights(alpha: float, n: int, pure: bool = False) -> np.ndarray:
@@ -51,10 +52,13 @@ def pmf(alpha: float, n: int, pure: bool = False) -> np.ndarray:
     return w / w.sum()
 
 
-def zipf(spark: SparkSession, rows: int, alpha: float, low: int, high: int, seed: int = 1, pure: bool = False) -> DataFrame:
+def zipf(spark: SparkSession, rows: int, alpha: float, low: int, high: int, seed: int = 1, pure: bool = False, sampler: str | None = None, uniform: str = "hash") -> DataFrame:
     """rows of (id, payload): ids drawn from low to high, both included; payload is the row's index from 0.
 
-    A row's draw depends on the seed and on its index alone, not on how rows are partitioned.
+    A row's draw depends on the seed and on its index alone, not on how rows are partitioned.  The two samplers draw
+    from one distribution but give other keys for a seed: "table" looks up a uniform number in the cumulated
+    distribution, which every executor holds; "rejection" needs no table.  Unless one is named, the number of keys decides.
+    uniform: "hash" of the row's index, or "lcg", the congruential sequence (by the table only).
     """
     if low >= high:
         raise ValueError("range: the first key must be below the last")
@@ -62,16 +66,19 @@ def zipf(spark: SparkSession, rows: int, alpha: float, low: int, high: int, seed
         raise ValueError("rows: not below 0")
     n = high - low + 1
     shape(alpha)
-    if n <= TABLE_KEYS:
+    if sampler is None:
+        sampler = "table" if n <= TABLE_KEYS or pure or uniform == "lcg" else "rejection"
+    if sampler not in SAMPLERS or sampler == "rejection" and (pure or uniform != "hash"):
+        raise ValueError("sampler: table or rejection; the latter draws this workload's skew alone, by hashed numbers")
+    if sampler == "table":
         table = spark.sparkContext.broadcast(np.cumsum(pmf(alpha, n, pure)))
 
         @F.pandas_udf("long")
         def draw(u: pd.Series) -> pd.Series:
             return pd.Series(np.minimum(np.searchsorted(table.value, u.to_numpy(), "right"), n - 1) + low)
 
-        return spark.range(rows).select(draw(row_uniform(F.col("id"), seed)).alias("id"), F.col("id").alias("payload"))
-    if pure:
-        raise ValueError(f"pure: {TABLE_KEYS} keys at most")
+        drawn = lcg_uniform(spark, rows, seed) if uniform == "lcg" else spark.range(rows).withColumn("u", row_uniform(F.col("id"), seed))
+        return drawn.select(draw("u").alias("key"), F.col("id").alias("payload")).withColumnRenamed("key", "id")
 
     def by_rejection(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,8 +119,11 @@ def rejection(row: np.ndarray, alpha: float, n: int, seed: int) -> np.ndarray:
 def zipf_grid(spark: SparkSession, rows: int, alpha: float, n: int, a: int = 48_271, b: int = 11, unit: int = 1_000_000) -> DataFrame:
     """rows of (id, payload) by whole numbers alone, which any engine can repeat.
 
-    Weights are floor(weight * unit), and row i falls at (i * a + b) modulo their sum.
+    Weights are floor(weight * unit), and row i falls at (i * a + b) modulo their sum.  Every executor holds them:
+    TABLE_KEYS keys at most.
     """
+    if n > TABLE_KEYS:
+        raise ValueError(f"n: {TABLE_KEYS} at most")
     grid = np.floor(weights(alpha, n) * unit).astype(np.int64)
     table = spark.sparkContext.broadcast(np.cumsum(grid))
     total = int(grid.sum())

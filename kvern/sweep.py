@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
         (args.path / f"partitions_{report.parameters.get('NumberOfPartitions', 1)}.txt").write_text(to_json(report))
     names = ["NoPartitioning", *(f"Radix{n}" for n in args.partitions)]
     rows = {r["phase"]: r for r in sweep_table(timings(spark, reports), names).collect()}  # three rows
-    lines = [" ".join(["Phase", *names]), *(" ".join([p, *(str(rows[p][n]) for n in names)]) for p in ("Partition", "Build", "Probe"))]
+    lines = [" ".join(["NumberOfPartitions", *names]), *(" ".join([p, *(str(rows[p][n]) for n in names)]) for p in ("Partition", "Build", "Probe"))]
     (args.path / "figure.dat").write_text("\n".join(lines) + "\n")
     return 0
 

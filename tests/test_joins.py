@@ -2,9 +2,13 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from kvern import operators as op
 from kvern.config import JoinSpec
 from kvern.functions import HASHERS
+from kvern.operators import aggregate
+from kvern.operators.join import fits_broadcast
 from kvern.plans import plan_nodes
 from kvern.sources import relation_pair
 
@@ -87,3 +91,35 @@ def test_keys_from_several_workers(spark):
 def test_null_keys_are_not_found(spark):
     table = spark.createDataFrame([(None, 1)], TUPLE)
     assert op.exists(table.select("id"), table).first()["found"] is False
+
+
+def test_counted_partitions_are_those_that_are_joined(spark):
+    """By murmur3, a partition's count is that of the physical partition."""
+    a, b = rows(spark, range(0, 300, 3)), rows(spark, [k % 300 for k in range(900)])
+    matched_rows = op.radix(a, b, partitions=7)
+    want = {r["p"]: r["n"] for r in matched_rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("id").alias("n")).collect()}
+    assert {r["partition"]: r["n"] for r in op.matches_by_partition(matched_rows, 7, hasher="murmur3").collect()} == want
+
+
+def test_salt_divides_a_hot_key(spark):
+    a, b = rows(spark, [1, 1, 2, None]), spark.createDataFrame([(1, k) for k in range(600)] + [(2, 0), (3, 0), (None, 0)], TUPLE).repartition(4)
+    joined = op.radix(a, b, partitions=16, salt=8)
+    assert matched(joined) == 601 and joined.columns == ["id", "payload"]
+    sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n")).collect()]
+    assert max(sizes) < 400
+    with pytest.raises(ValueError):
+        op.radix(a, b, salt=0)
+
+
+def test_wide_payloads_are_not_broadcast(spark):
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) as payload")
+    assert fits_broadcast(wide) and not fits_broadcast(wide, most=5000) and not fits_broadcast(wide, rows=9)
+    assert fits_broadcast(wide.select("id"), most=0)
+
+
+def test_rising_keys(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "BLOCK", 3)
+    counts = [9, 9, 7, 8, 5, 5, 6, 1]
+    profile = spark.createDataFrame([(k, n) for k, n in enumerate(counts)], "id long, n long")
+    assert sorted(map(tuple, op.rising_keys(profile).collect())) == [(3, 8, 7), (6, 6, 5)]
+    assert op.rising_keys(profile.limit(0)).count() == 0

@@ -6,8 +6,11 @@ import pytest
 from kvern.cli import main
 from kvern.config import JoinSpec, OutputSpec
 from kvern.functions import in_unit
+from kvern.operators import joined_partitions
 from kvern.plans import NoTimer, PhaseReport, PhaseTimer, Stopwatch, plan_metrics, run_join, sweep, sweep_table, to_json
+from kvern.plans.metrics import task_times
 from kvern.plans.report import json_column, timings
+from kvern.sources import relation_pair
 from kvern.streaming import streamed_matches
 
 
@@ -97,6 +100,36 @@ def test_sweep_command(spark, tmp_path):
 
     assert sweep_main(["-p", str(tmp_path), "--primary", "20", "--secondary", "200", "--partitions", "2", "4"]) == 0
     lines = (tmp_path / "figure.dat").read_text().split("\n")
-    assert lines[0] == "Phase NoPartitioning Radix2 Radix4" and [x.split()[0] for x in lines[1:4]] == ["Partition", "Build", "Probe"]
+    assert lines[0] == "NumberOfPartitions NoPartitioning Radix2 Radix4" and [x.split()[0] for x in lines[1:4]] == ["Partition", "Build", "Probe"]
     assert sorted(p.name for p in tmp_path.glob("*.txt")) == ["partitions_1.txt", "partitions_2.txt", "partitions_4.txt"]
     assert [bucket_count(n) for n in (0, 1, 10)] == [0, 2, 13] and bucket_count(10, 0.25) == 3
+
+
+def test_phases_are_measured_and_add_up(spark):
+    """The relations are made before the clock runs; what the radix join deals out once is what it joins."""
+    spec = JoinSpec("radix-partitioning", 2000, 40_000, 1.05, 8, seed=1)
+    began = time.perf_counter_ns()
+    report = run_join(spark, spec)
+    took = time.perf_counter_ns() - began
+    assert report.matched == 40_000 and all(d >= 0 for d in report.durations.values())
+    assert 0 < report.durations["partition"] and sum(report.durations.values()) < took
+    pair = tuple(df.select("id").repartition(8, "id").cache() for df in relation_pair(spark, spec))
+    for df in pair:
+        df.count()
+    joined = joined_partitions(*pair, ["id"])
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    for df in pair:
+        df.unpersist()
+
+
+def test_task_times(spark):
+    spark.sparkContext.setJobGroup("timed", "")
+    spark.range(1000, numPartitions=3).selectExpr("sum(id)").collect()
+    spark.sparkContext._jsc.clearJobGroup()
+    tasks = task_times(spark, "timed")
+    assert {k for _, k, _ in tasks} >= {0, 1, 2} and all(ms >= 0 for _, _, ms in tasks)
+
+
+def test_results_have_the_fixed_id(spark):
+    told = json.loads(to_json(PhaseReport({}, {"partition": 0, "build": 0, "probe": 0})))
+    assert told["id"] == "hashjointimingresult"

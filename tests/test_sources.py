@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from kvern.config import JoinSpec
-from kvern.functions import LinearCongruential
+from kvern.functions import LinearCongruential, lcg_uniform
 from kvern.sources import as_relation, pmf, relation_pair, sequential, weights, zipf
 from kvern.sources.zipf import rejection, shape
 
@@ -85,3 +85,18 @@ def test_relation_pair(spark):
     assert a.count() == 50 and b.count() == 300
     assert b.join(a, "id", "left_anti").count() == 0
     assert as_relation(a, "id").columns == ["id"]
+
+
+def test_lcg_rows_are_the_sequence(spark):
+    g = LinearCongruential(77)
+    want = [g.next() for _ in range(300)]
+    assert [r["u"] for r in lcg_uniform(spark, 300, 77).orderBy("id").collect()] == want
+    ids = [r["id"] for r in zipf(spark, 300, 1.05, 5, 14, seed=77, uniform="lcg").orderBy("payload").collect()]
+    assert ids == [min(int(np.searchsorted(pmf(1.05, 10).cumsum(), u, "right")), 9) + 5 for u in want]
+
+
+def test_samplers_are_named(spark):
+    assert zipf(spark, 50, 1.05, 1, 10, sampler="rejection").count() == zipf(spark, 50, 1.05, 1, 10, sampler="table", pure=True).count() == 50
+    for bad in ({"sampler": "other"}, {"sampler": "rejection", "pure": True}, {"sampler": "rejection", "uniform": "lcg"}):
+        with pytest.raises(ValueError):
+            zipf(spark, 5, 1.05, 1, 10, **bad)
