@@ -1,10 +1,10 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame operations only.
 
-Every window of 10 consecutive item words (a shorter item is one window) is the set of its shingles.  A
-document contains the window only if it has every one of them, so one necessary token is enough to find it: the
-window's rarest shingle, as counted over all documents.  Documents' shingles are joined with these
-prefix tokens; what meets must leave room for the whole window on both sides (positional and length
-bound) and then agree with it word by word.
+Every window of 10 consecutive item words (a shorter item is one window) is the set of its shingles.  Documents are
+cut once: of their shingles, those that any window has are kept, with their places.  A document contains a
+window only if it has every one of its shingles, so one necessary token is enough to find it: the window's rarest
+shingle, as counted over all documents.  The kept shingles are joined with these prefix tokens; what meets must
+leave room for the whole window on both sides (positional and length bound) and then agree with it word by word.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from kvern.llm.util import written
 WINDOW, SHINGLE = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: What separates words in a text as it stands, before lower-casing.
-RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows that are broadcast at most (about 200 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 100_000
+#: Shingles of windows (longs, about 30 bytes each), and windows (about 300 bytes), that are broadcast at most; more are joined by a shuffle.
+BROADCAST_SHINGLES, BROADCAST_WINDOWS = 2_000_000, 100_000
+#: Documents' keys that are broadcast at most.
+BROADCAST_DOCUMENTS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -34,51 +34,69 @@ def _shingle(words_: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *(F.get(words_, at + j) for j in range(n)))
 
 
-def _shingles(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """A row for each shingle of each of the lengths: pos, h, and the columns to keep."""
-    at = df.select(*keep, "words", F.posexplode("words").alias("pos", "_word"))
-    room = F.size("words") - F.col("pos")
-    if len(lengths) == 1:
-        return at.where(room >= lengths[0]).withColumn("h", _shingle(F.col("words"), F.col("pos"), lengths[0])).drop("_word")
-    several = at.withColumn("h", F.explode(F.array(*(F.when(room >= n, _shingle(F.col("words"), F.col("pos"), n)) for n in lengths))))
-    return several.where("h is not null").drop("_word")
-
-
 def windows_of(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(window, size, words, item_id): each window of each item, `window` its MD5."""
-    items = benchmark.select(F.col(id_column).alias("item_id"), words(F.col(text_column)).alias("all")).where(F.size("all") > 0)
+    """(window, size, words, items): the different windows of all items, `window` the MD5 of its words, `items` those that have it."""
+    items = benchmark.select(F.col(id_column).cast("string").alias("item_id"), words(F.col(text_column)).alias("all")).where(F.size("all") > 0)
     last = F.greatest(F.size("all") - WINDOW, F.lit(0))
     cut = items.withColumn("at", F.explode(F.sequence(F.lit(0), last))).select("item_id", F.slice("all", F.col("at") + 1, F.lit(WINDOW)).alias("words"))
-    return cut.select(F.md5(F.concat_ws(" ", "words").cast("binary")).alias("window"), F.size("words").alias("size"), "words", "item_id").distinct()
-
-
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end, window): where a window occurs in a document; docs has doc_id, text_key, text."""
-    plain = written(windows.select("window", "size", "words").distinct())
-    n_windows = plain.count()
-    lengths = sorted(r[0] for r in plain.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # SHINGLE values at most
-    if not lengths:
-        return docs.select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("window")).where("false")
-    small = F.broadcast if n_windows <= BROADCAST_WINDOWS else lambda df: df
-
-    own = None
-    for n in lengths:
-        part = plain.where(F.least("size", F.lit(SHINGLE)) == n)
-        part = _shingles(part, [n], "window", "size").select("window", "size", "words", F.col("pos").alias("offset"), "h")
-        own = part if own is None else own.unionByName(part)
-    own = written(own)
-    texts = docs.select("doc_id", "text_key", words(F.col("text")).alias("words"))
-    met = _shingles(texts.select("words"), lengths).select("h").join(small(own.select("h").distinct()), "h")
-    counted = met.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = own.join(counted, "h")  # a shingle that no document has leaves no match to look for; see below
-    have_all = ranked.groupBy("window").agg(F.min(F.struct("n", "h", "offset")).alias("rarest"), F.count(F.lit(1)).alias("met"), F.first("size").alias("size"), F.first("words").alias("item_words"))
-    # All shingles of a window must occur somewhere; its shingle count follows from its size.
-    prefix = written(have_all.where(F.col("met") == F.col("size") - F.least("size", F.lit(SHINGLE)) + 1).select("window", "size", "item_words", F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset")))
+    named = cut.select(F.md5(F.concat_ws(" ", "words").cast("binary")).alias("window"), "words", "item_id")
+    return named.groupBy("window").agg(F.size(F.first("words")).alias("size"), F.first("words").alias("words"), F.collect_set("item_id").alias("items"))
+
+
+def _scanned(docs: DataFrame, own: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row for each document, with n_words and a null h, and one for each of its shingles (pos, h) that a window has.
+
+    docs: doc_id, text_key, text; own: the windows' shingles h, of `lengths` words.  Words stay where they are cut: with
+    more shingles than are broadcast, only keys, places and hashes are shuffled.
+    """
+    keys = own.select("h").distinct().withColumn("met", F.lit(True))
+    texts = docs.select("doc_id", "text_key", words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    # The place after the last word stands for the document.
+    placed = texts.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n_words"))))
+    whole, room = F.col("pos") == F.col("n_words"), F.col("n_words") - F.col("pos")
+    each = [F.when(room >= n, F.xxhash64(F.lit(n), *(F.get("words", F.col("pos") + j) for j in range(n)))) for n in lengths]
+    if len(each) > 1:
+        placed = placed.select("*", F.posexplode(F.array(*each)).alias("length", "h")).where(F.col("h").isNotNull() | (whole & (F.col("length") == 0)))
+    else:
+        placed = placed.withColumn("h", each[0] if each else F.lit(None).cast("long")).where(F.col("h").isNotNull() | whole)
+    # All of this is one generated loop, which drops the words as soon as they are hashed: no row has a copy of them.
+    placed = placed.select("doc_id", "text_key", "n_words", "pos", "h")
+    if keys.count() <= BROADCAST_SHINGLES:
+        return written(placed.join(F.broadcast(keys), "h", "left").where(F.col("met") | (F.col("pos") == F.col("n_words"))).select(placed.columns))
+    met = placed.where("h is not null").join(keys, "h").select(placed.columns)
+    return written(met.unionByName(placed.where("h is null")))
+
+
+def occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is told of each document (doc_id, text_key, n_words), and where windows occur: (doc_id, text_key, start, end, items).
+
+    docs: doc_id, text_key, text.  Repeated rows are one document in the second table.
+    """
+    some = windows.withColumn("n", F.least("size", F.lit(SHINGLE)))
+    lengths = sorted(r[0] for r in some.select("n").distinct().collect())  # SHINGLE values at most
+    at = some.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("n"))))
+    h = F.coalesce(*(F.when(F.col("n") == n, F.xxhash64(F.lit(n), *(F.get("words", F.col("offset") + j) for j in range(n)))) for n in lengths), F.lit(None).cast("long"))
+    own = written(at.select("window", "size", "n", "offset", h.alias("h")))
+    scanned = _scanned(docs, own, lengths)
+    documents, met = scanned.where("h is null").select("doc_id", "text_key", "n_words"), scanned.where("h is not null").distinct()
+    counted = met.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    # Every shingle of a window must occur somewhere; the rarest is its prefix.
+    rarest = own.join(counted, "h").groupBy("window").agg(F.min(F.struct("times", "h", "offset")).alias("rarest"), F.count(F.lit(1)).alias("met"), F.first("size").alias("size"), F.first("n").alias("n"))
+    prefix = rarest.where("met = size - n + 1").select("window", F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset"))
+    prefix = written(prefix.join(windows.select("window", "size", F.col("words").alias("item_words"), "items"), "window"))
     start = F.col("pos") - F.col("offset")
-    found = _shingles(texts, lengths, "doc_id", "text_key").join(small(prefix), "h")
-    fits = (start >= 0) & (start + F.col("size") <= F.size("words"))
-    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("item_words")
-    return found.where(fits & same).select("doc_id", "text_key", start.alias("start"), (start + F.col("size")).alias("end"), "window")
+    fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    small = F.broadcast(prefix) if prefix.count() <= BROADCAST_WINDOWS else prefix
+    left = written(met.join(small, "h").where(fits).select("doc_id", "text_key", start.alias("start"), "size", "item_words", "items"))
+    # Words again, of those documents alone that have something to compare.
+    asked = written(left.select(F.col("doc_id").alias("asked_id"), F.col("text_key").alias("asked_key")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_DOCUMENTS else asked
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_key") == F.col("asked_key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    texts = texts.select("doc_id", "text_key", words(F.col("text")).alias("words")).alias("t")
+    same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_key") == F.col("c.text_key"))
+    equal = F.slice("words", F.col("start") + 1, F.col("size")) == F.col("item_words")
+    hits = left.alias("c").join(texts, same).where(equal)
+    return documents, hits.select("c.doc_id", "c.text_key", "start", (F.col("start") + F.col("size")).alias("end"), "items")
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -103,26 +121,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     A null or empty text has no words and no hit.  Repeated rows each have a row.  A benchmark row with a null
     id marks words as hit but is no item; an empty or null item has no window.  Other columns are not read.
     """
-    texts = keyed(docs, id_column, text_column)
-    windows = written(windows_of(benchmark))
-    hits = written(occurrences(texts, windows))
+    documents, hits = occurrences(keyed(docs, id_column, text_column), written(windows_of(benchmark)))
     # A document's spans and items are bounded by its own length and by the benchmark.
-    spans = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    items = hits.select("doc_id", "text_key", "window").distinct().join(windows.select("window", "item_id"), "window").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    found = spans.select("doc_id", "text_key", F.array_sort("spans").alias("spans"), _covered().alias("n_hit"))
-    base = texts.select("doc_id", "text_key", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_SEPARATORS), "")).cast("long").alias("n_words")).alias("d")
-
-    def same(side: str) -> Column:
-        return F.col("d.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col("d.text_key") == F.col(f"{side}.text_key"))
-
-    out = base.join(found.alias("f"), same("f"), "left").join(items.alias("i"), same("i"), "left")
+    found = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    found = found.select("doc_id", "text_key", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), _covered().alias("n_hit")).alias("f")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
+    out = documents.alias("d").join(found, same, "left")
     none = F.array().cast("array<string>")
-    return out.select("d.doc_id", "d.n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "spans", F.array_sort(F.coalesce("items", none)).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+    return out.select("d.doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "spans", F.coalesce("items", none).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no window occurs."""
-    hits = written(occurrences(keyed(docs, id_column, text_column), written(windows_of(benchmark))).select("doc_id", "text_key").distinct())
-    hits = hits.select(F.col("doc_id").alias("__kvern_doc_id"), F.col("text_key").alias("__kvern_text_key"))
+    _, hits = occurrences(keyed(docs, id_column, text_column), written(windows_of(benchmark)))
+    hits = written(hits.select(F.col("doc_id").alias("__kvern_doc_id"), F.col("text_key").alias("__kvern_text_key")).distinct())
     same = F.col(id_column).eqNullSafe(F.col("__kvern_doc_id")) & (F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))) == F.col("__kvern_text_key"))
-    return docs.join(F.broadcast(hits) if hits.count() <= BROADCAST_WINDOWS * 5 else hits, same, "left_anti")
+    return docs.join(F.broadcast(hits) if hits.count() <= BROADCAST_DOCUMENTS else hits, same, "left_anti")

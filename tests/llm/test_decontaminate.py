@@ -46,6 +46,31 @@ def test_agrees_with_all_windows(spark, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in dc.clean(df, bench).collect()) == sorted(str(d[1]) for d in want if not d[-1])
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
     assert found(df, bench) == want
+    monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(dc, "BROADCAST_DOCUMENTS", 0)
+    assert found(df, bench) == want
+
+
+def join_inputs(node):
+    """The columns of both sides of each join of a plan: what an exchange below it sends."""
+    children = [node.children().apply(k) for k in range(node.children().size())]
+    for child in children:
+        if "SortMergeJoin" in node.nodeName() or "ShuffledHashJoin" in node.nodeName():
+            yield child.output().mkString(",")
+        yield from join_inputs(child)
+
+
+def test_no_words_are_shuffled_to_find_shingles(spark, monkeypatch):
+    """Without a broadcast, keys, places and hashes go through the exchange, never a document's words."""
+    made, write = [], dc.written
+    monkeypatch.setattr(dc, "written", lambda df: (made.append(df), write(df))[1])
+    monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 0)
+    rng = random.Random(6)
+    docs = dc.keyed(spark.createDataFrame([(k, prose(rng, 50), None, None, None) for k in range(20)], SCHEMA))
+    dc._scanned(docs, spark.createDataFrame([(1,), (2,)], "h long"), [5]).count()
+    exchanged = list(join_inputs(made[-1]._jdf.queryExecution().sparkPlan()))
+    assert len(exchanged) == 2 and not any("words#" in x.replace("n_words#", "") for x in exchanged)
+    assert any("pos#" in x for x in exchanged)
 
 
 def test_odd_rows(spark, odd, odd_rows, none):
