@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import argparse
-import logging
 import sys
 
 from pyspark.sql import SparkSession
 
 from kvern.config import FORMATS, OUTPUTS, Join, JoinSpec, OutputSpec, Unit
+from kvern.log import LEVELS, configure, get_logger
 from kvern.plans.report import render
 from kvern.plans.runner import run_join
 
-LEVELS = {"trace": logging.DEBUG, "debug": logging.DEBUG, "info": logging.INFO, "warning": logging.WARNING, "error": logging.ERROR, "critical": logging.CRITICAL}
-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kvern", description="Joins two generated relations and reports how long the phases took.")
@@ -36,9 +34,8 @@ def main(argv: list[str] | None = None) -> int:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return 0 if not e.code else 1
-    logging.basicConfig(level=LEVELS[args.log], format="[%(asctime)s] [%(name)s] [%(levelname)s] %(message)s")
-    log = logging.getLogger("kvern")
-    logging.getLogger("py4j").setLevel(logging.WARNING)
+    configure(args.log)
+    log = get_logger("join")
     try:
         spec = JoinSpec(args.join, args.primary, args.secondary, args.skew, args.partitions, args.seed)
         output = OutputSpec(args.filename, args.format, args.output, args.unit)
@@ -47,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as e:  # the command's boundary: any failure is exit code 1
         log.error("%s", e)
         return 1
-    log.info("%s: %d of %d probe rows matched", spec.join, report.matched, spec.secondary)
+    log.about("secondary").info("%s: %d of %d probe rows matched", spec.join, report.matched, spec.secondary)
     return 0
 
 

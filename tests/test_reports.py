@@ -1,4 +1,6 @@
 import json
+import logging
+import re
 import time
 
 import pytest
@@ -6,6 +8,7 @@ import pytest
 from kvern.cli import main
 from kvern.config import JoinSpec, OutputSpec
 from kvern.functions import in_unit
+from kvern.log import configure, get_logger
 from kvern.operators import joined_partitions
 from kvern.plans import NoTimer, PhaseReport, PhaseTimer, Stopwatch, plan_metrics, run_join, sweep, sweep_table, to_json
 from kvern.plans.metrics import task_times
@@ -133,3 +136,17 @@ def test_task_times(spark):
 def test_results_have_the_fixed_id(spark):
     told = json.loads(to_json(PhaseReport({}, {"partition": 0, "build": 0, "probe": 0})))
     assert told["id"] == "hashjointimingresult"
+
+
+def test_log_lines_name_component_and_table(capsys):
+    logger = logging.getLogger("kvern")
+    was, logger.handlers = logger.handlers, []
+    try:
+        configure("trace")
+        get_logger("join").about("primary").trace("%d rows", 5)
+        configure("error")
+        get_logger("join").info("not said")
+        lines = capsys.readouterr().err.splitlines()
+        assert len(lines) == 1 and re.fullmatch(r"\(join\) \(TRACE\) \(\d\d:\d\d:\d\d\.\d{3}\) \(primary\): 5 rows", lines[0])
+    finally:
+        logger.handlers = was
