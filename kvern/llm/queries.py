@@ -80,7 +80,7 @@ def op9_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
 
 
 def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spotsigs.edited_pairs(_table(spark, sf_dir, "documents"), gap=spotsigs.GAP)
+    pairs = spotsigs.edited_pairs(_table(spark, sf_dir, "documents"), gap=spotsigs.GAP, threshold=spotsigs.NEAR)
     own, edited = spotsigs.fingerprint(F.col("signatures")), spotsigs.fingerprint(F.col("edited_signatures"))
     digest = F.sha2(F.col("edited").cast("binary"), 256)
     return pairs.select("doc_id", "n_chars", digest.alias("edited_sha256"), own.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next")
@@ -189,6 +189,33 @@ FROM d LEFT JOIN l USING (r)
 """
 
 
+#: Words with their places, anchors among them, chains from anchors, from the start and from words far from an anchor; md5 as in `spotsigs`.
+_OP10 = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS r, doc_id, coalesce(text, '') AS x FROM documents),
+e AS (SELECT d.r, d.doc_id, d.x, y.r AS y, length(d.x) AS n, left(d.x, length(d.x) - length(d.x) // 3) || left(y.x, length(d.x) // 3) AS edited
+      FROM d JOIN d y ON y.r = d.r % (SELECT max(r) FROM d) + 1),
+t AS (SELECT r, k, x, {_WORDS.replace("text", "x")} AS w FROM (SELECT r, 0 AS k, x FROM e UNION ALL SELECT r, 1, edited FROM e)),
+u AS (SELECT r, k, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM t),
+a AS (SELECT *, word IN ('{"', '".join(spotsigs.ANCHORS)}') AS anchor FROM u),
+b AS (SELECT *, count(*) FILTER (NOT anchor) OVER o - CASE WHEN anchor THEN 0 ELSE 1 END AS content, max(place) FILTER (anchor) OVER o AS since, coalesce(lead(anchor) OVER (PARTITION BY r, k ORDER BY place), false) AS directly
+      FROM a WINDOW o AS (PARTITION BY r, k ORDER BY place ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT r, k, list(word ORDER BY place) AS c FROM a WHERE NOT anchor GROUP BY ALL),
+s AS (SELECT r, k, concat_ws(' ', word, c[content + 1], c[content + 2], c[content + 3]) AS s FROM b JOIN c USING (r, k) WHERE anchor AND NOT directly AND content < len(c)
+      UNION ALL SELECT r, k, concat_ws(' ', word, c[content + 2], c[content + 3], c[content + 4]) FROM b JOIN c USING (r, k)
+      WHERE NOT anchor AND CASE WHEN since IS NULL THEN content >= {spotsigs.CHAIN} ELSE place - since - 1 >= {spotsigs.GAP} END
+      UNION ALL SELECT r, k, concat_ws(' ', '^', c[1], c[2], c[3]) FROM c
+      UNION ALL SELECT r, k, array_to_string(list_prepend('$', w), ' ') FROM t WHERE len(w) > 0 AND (r, k) NOT IN (SELECT (r, k) FROM c)
+      UNION ALL SELECT r, k, '# ' || x FROM t WHERE len(w) = 0 AND x <> ''),
+f AS (SELECT r, k, list_sort(list(DISTINCT substr(md5(s), 1, 16))) AS f FROM s GROUP BY ALL),
+p AS (SELECT e.*, coalesce(own.f, []) AS f, coalesce(ed.f, []) AS fe, coalesce(nx.f, []) AS fn FROM e LEFT JOIN f own ON own.r = e.r AND own.k = 0 LEFT JOIN f ed ON ed.r = e.r AND ed.k = 1 LEFT JOIN f nx ON nx.r = e.y AND nx.k = 0),
+q AS (SELECT *, len(list_intersect(f, fe)) AS be, len(list_intersect(f, fn)) AS bn FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {{f}} AS fingerprint, {{fe}} AS edited_fingerprint, {{be}} AS near_edited, {{bn}} AS near_next FROM q
+""".format(
+    **{x: f"CASE WHEN len({x}) > 0 THEN CAST(floor(ln(len({x})) / ln(1 / CAST({spotsigs.THRESHOLD} AS DOUBLE))) AS INTEGER) + 1 ELSE 0 END || ':' || array_to_string({x}, ',')" for x in ("f", "fe")},
+    **{b: f"CASE WHEN greatest(len(f), len({x})) = 0 THEN 1.0 WHEN least(len(f), len({x})) < CAST({spotsigs.NEAR} AS DOUBLE) * greatest(len(f), len({x})) THEN 0.0 ELSE {b} / (len(f) + len({x}) - {b}) END" for b, x in (("be", "fe"), ("bn", "fn"))},
+)
+
+
 def _crc32_table() -> list[int]:
     """The 256 steps of CRC-32, from its polynomial."""
     out = list(range(256))
@@ -214,4 +241,4 @@ FROM placed JOIN crc USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_cross_entropy_difference": _OP8, "op3_ngram_jaccard_join": _OP3, "op4_sampled_splitters": _OP4, "op1_raked_mixing": _OP1, "op2_prefix_target_chat": _OP2, "op9_prefix_filtered_decontamination": _OP9}
+    return {"op10_spotsigs_fingerprints": _OP10, "op8_cross_entropy_difference": _OP8, "op3_ngram_jaccard_join": _OP3, "op4_sampled_splitters": _OP4, "op1_raked_mixing": _OP1, "op2_prefix_target_chat": _OP2, "op9_prefix_filtered_decontamination": _OP9}

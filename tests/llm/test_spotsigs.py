@@ -53,7 +53,7 @@ def test_tables(tables, monkeypatch):
     df = tables("documents")
     want = sorted(brute([(r["doc_id"], r["text"]) for r in df.collect()]), key=repr)
     assert found(df) == want
-    monkeypatch.setattr(ss, "RANGE_ROWS", 7)  # many ranges
+    monkeypatch.setattr(ss, "RANGE_BYTES", 20_000)  # many ranges
     assert found(df.repartition(5)) == want
 
 
@@ -61,7 +61,7 @@ def test_odd_rows(spark, none):
     rng = random.Random(8)
     texts = [None, "", "###", "the of and", "one", "The, the; one two three four", prose(rng, 20_000), "日本 the é x", prose(rng, 5)]
     rows = [(k * 10, t, None, None, None) for k, t in enumerate(texts)] + [(None, "null id the end is here", None, None, None), (33, "same the text was it", None, None, None), (33, "same the text was it", None, None, None)]
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "2 as signatures", "3 as edited")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "2 as signatures", "3 as edited", "4 as __id", "5 as __range", "6 as __lent")
     assert found(df) == sorted(brute([r[:2] for r in rows]), key=repr)
     assert ss.edited_pairs(none).count() == 0 and ss.near_duplicates(none).count() == 0
     one = spark.createDataFrame(rows[8:9], SCHEMA)
@@ -123,3 +123,35 @@ def test_far_words_are_anchors(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
     got = {r["k"]: r["n"] for r in ss.signatures(df, "text", "s", ss.GAP).select("k", F.size("s").alias("n")).collect()}
     assert got == {k: len(anchored(t or "", ss.GAP)) for k, t in enumerate(texts)}
+
+
+def test_ranges_divide_the_rows_of_one_id(spark, monkeypatch):
+    """Ranges are even in bytes, whatever the ids; a row without an id is a row like any other."""
+    rng = random.Random(12)
+    rows = [(None if k % 6 else k, prose(rng, 20)) for k in range(600)]
+    base = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    monkeypatch.setattr(ss, "RANGE_BYTES", 4000)
+    slim = base.select(F.coalesce("doc_id", F.lit(ss.LEAST)).alias("id"), "key", F.octet_length("text").cast("long").alias("bytes"))
+    bounds = ss._bounds(slim)
+    total = slim.agg(F.sum("bytes")).first()[0]
+    sizes = [r["b"] for r in slim.groupBy(ss._bucket(F.col("id"), F.col("key"), bounds).alias("r")).agg(F.sum("bytes").alias("b")).collect()]
+    assert len(sizes) == len(bounds) + 1 >= total / 4000 * 0.8 and max(sizes) < 4 * total / len(sizes)
+    out = ss.with_next(base, ["key"], "doc_id", "key", F.octet_length("text")).collect()
+    ordered = sorted(out, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else ss.LEAST, r["key"]), reverse=True)
+    assert [r["next_key"] for r in ordered] == [r["key"] for r in ordered[1:] + ordered[:1]]
+
+
+def test_classes_have_all_members(spark):
+    rows = [(5, "the red car is here"), (3, "The red car, is here!"), (None, "the red car is here"), (4, "a blue fish was there"), (9, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in ss.classes(df).collect() if r["doc_id"] not in (8, 9)}
+    assert got == {5: ss.LEAST, 3: ss.LEAST, None: ss.LEAST, 4: 4}
+    assert {r["class_id"] for r in ss.classes(df).where("doc_id in (8, 9)").collect()} == {None}
+
+
+def test_a_threshold_only_leaves_out_what_cannot_reach_it(tables):
+    df = tables("documents")
+    exact = {r["doc_id"]: r for r in ss.edited_pairs(df).collect()}
+    for r in ss.edited_pairs(df, threshold=ss.NEAR).collect():
+        for c in ("near_edited", "near_next"):
+            assert r[c] == exact[r["doc_id"]][c] or r[c] == 0 and exact[r["doc_id"]][c] < ss.NEAR
