@@ -10,7 +10,7 @@ URL-encoded.  Both can be undone exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<s>", "</s>"
@@ -35,25 +35,27 @@ def examples(turns: DataFrame) -> DataFrame:
     null conv_id is a conversation too.  Repeated rows are turns of their own.  Other columns are not read.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    said = rows.select("conv_id", F.struct("turn", "role", "text").alias("said"), F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
+    said = rows.select("conv_id", "turn", "role", "text", F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
+    # Where each turn ends; equal turns are equally long, so which of them is first doesn't matter.
+    upto = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    said = said.withColumn("end", F.sum(F.length("head") + F.length("body") + len(CLOSE)).over(upto).cast("int"))
     # A conversation is one training text: its turns are together in one string in any case.
-    chats = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("said", "head", "body"))).alias("turns"))
-    chats = chats.withColumn("long", F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)))
-    chats = chats.withColumn("ends", F.aggregate("long", F.array(F.lit(0)), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n))))
+    chats = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.struct("turn", "role", "text").alias("said"), "end", "head", "body"))).alias("turns"))
     chats = chats.withColumn("all", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), ""))
     at = F.sequence(F.lit(0), F.size("turns") - 1)
     last = F.size("turns") - 1
     wanted = F.filter(at, lambda i: (F.get(F.col("turns"), i)["said"]["role"] == ASSISTANT) | (i == last))
-    each = chats.select("conv_id", "turns", "ends", "all", F.explode(wanted).alias("i"))
-    turn = F.get(F.col("turns"), F.col("i"))
+    each = chats.select("conv_id", F.size("turns").alias("n"), F.explode(F.transform(wanted, lambda i: F.struct(i.alias("i"), F.get(F.col("turns"), i).alias("turn")))).alias("x"), "all")
+    each = each.select("conv_id", "n", "x.i", "x.turn", "all")
+    turn, body = F.col("turn"), F.length("turn.body")
     reply = turn["said"]["role"] == ASSISTANT
     return each.select(
         "conv_id",
         F.when(reply, F.col("i")).alias("target"),
-        F.substring(F.col("all"), F.lit(1), F.get(F.col("ends"), F.col("i") + 1)).alias("text"),
-        F.when(reply, F.get(F.col("ends"), F.col("i")) + F.length(turn["head"])).otherwise(0).alias("loss_start"),
-        F.when(reply, F.length(turn["body"])).otherwise(0).alias("loss_chars"),
-        (F.col("i") == F.size("turns") - 1).alias("whole"),
+        F.substring(F.col("all"), F.lit(1), turn["end"]).alias("text"),
+        F.when(reply, turn["end"] - len(CLOSE) - body).otherwise(0).alias("loss_start"),
+        F.when(reply, body).otherwise(0).alias("loss_chars"),
+        (F.col("i") == F.col("n") - 1).alias("whole"),
     )
 
 

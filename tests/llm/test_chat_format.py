@@ -54,3 +54,8 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as turns", "2 as ends", "3 as i", "4 as body", "5 as head")
     assert digests(df) == brute(rows)
     assert cf.digests(cf.examples(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_conversations_and_rows_without_one(spark):
+    rows = [(1, k, "assistant" if k % 500 == 3 else "user", f"turn {k} " * 3) for k in range(3000)] + [(None, k, "user" if k % 300 else "assistant", None if k % 7 else "x") for k in range(1500)]
+    assert digests(spark.createDataFrame(rows, SCHEMA).repartition(4)) == brute(rows)
