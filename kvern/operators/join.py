@@ -57,6 +57,16 @@ def radix(build: DataFrame, probe: DataFrame, key: str = "id", partitions: int =
     return joined_partitions(copies.repartition(partitions, *keys), spread.repartition(partitions, *keys), keys).select(*probe.columns)
 
 
+def counted_matches(build: DataFrame, probe: DataFrame, key: str = "id") -> DataFrame:
+    """How many rows of probe match, as one row `matched`, where the rows themselves aren't asked for.
+
+    Each task counts its probe rows by key before any is dealt out: a key that holds a third of the rows is one row of
+    each task, and no partition has more of it than there are tasks.
+    """
+    counted = probe.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return joined_partitions(build, counted, [key]).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("matched"))
+
+
 def joined_tuples(build: DataFrame, probe: DataFrame, key: str = "id", payload: str = "payload", most: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each pair of matching rows: id, payload_a (build), payload_b (probe)."""
     left = build.select(F.col(key).alias("id"), F.col(payload).alias("payload_a"))

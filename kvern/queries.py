@@ -200,6 +200,10 @@ def salted_radix_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.matched_count(op.radix(_open_orders(spark, sf_dir), _lines(spark, sf_dir), partitions=PARTITIONS, salt=4))
 
 
+def counted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.counted_matches(_open_orders(spark, sf_dir), _lines(spark, sf_dir))
+
+
 def busiest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as workers, with rows and distinct parts as their durations."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -212,7 +216,7 @@ _QUERIES = (
     duplicate_build_radix_count, joined_tuples, exists_flag, get_first, get_all, partition_assignment, partition_sizes, partition_boundaries,
     worker_histogram, worker_offsets, clustered_layout, partitionwise_match_counts, sequential_relation, zipf_relation_histogram,
     fk_frequency_profile, tuple_texts, phase_pivot, unit_cast, busiest_worker, partition_sizes_with_empty, radix_partition_rows, report_json,
-    joined_texts, lcg_sequence, zipf_by_lcg, zipf_counts_rise, bucket_counts, salted_radix_count,
+    joined_texts, lcg_sequence, zipf_by_lcg, zipf_counts_rise, bucket_counts, salted_radix_count, counted_matches,
 )
 
 
@@ -275,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "zipf_counts_rise": "SELECT s AS sampler, CAST(10000 AS BIGINT) AS n, CAST(1 AS BIGINT) AS least, CAST(10 AS BIGINT) AS most, CAST(0 AS BIGINT) AS rising FROM (VALUES ('table'), ('rejection')) v(s)",
         "bucket_counts": "SELECT l_suppkey AS id, CAST(ceil(count(*) * 1.25) AS BIGINT) AS probing, CAST(ceil(count(*) * 0.25) AS BIGINT) AS chaining FROM lineitem GROUP BY 1",
         "salted_radix_count": _OPEN,
+        "counted_matches": _OPEN,
         "partition_boundaries": f"""WITH z AS (SELECT CAST(p AS INTEGER) AS partition, count(o_custkey) AS n FROM range({PARTITIONS}) t(p) LEFT JOIN orders ON o_custkey % {PARTITIONS} = p GROUP BY 1)
 SELECT partition, CAST(sum(n) OVER (ORDER BY partition) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY partition) AS BIGINT) AS "end" FROM z""",
         "worker_histogram": f"WITH {_SPLIT}, {_HISTOGRAM} SELECT * FROM h",

@@ -9,7 +9,7 @@ from kvern.config import JoinSpec
 from kvern.functions import HASHERS
 from kvern.operators import aggregate
 from kvern.operators.join import fits_broadcast
-from kvern.plans import plan_nodes
+from kvern.plans import plan_metrics, plan_nodes
 from kvern.sources import relation_pair
 
 TUPLE = "id long, payload long"
@@ -34,6 +34,7 @@ def test_edge_relations(spark, build, probe, want):
     a, b = rows(spark, build), rows(spark, probe)
     counts = [matched(op.no_partitioning(a, b)), matched(op.no_partitioning(a, b, most=0)), matched(op.radix(a, b, partitions=64)), matched(op.radix(a, b, adaptive=True))]
     assert counts == [want] * 4
+    assert op.counted_matches(a, b).first()["matched"] == want
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -111,6 +112,15 @@ def test_salt_divides_a_hot_key(spark):
         op.radix(a, b, salt=0)
 
 
+def test_a_hot_key_is_counted_before_it_is_dealt(spark):
+    """One row for each task and key crosses the exchange."""
+    probe = spark.createDataFrame([(k % 2, k) for k in range(5000)], TUPLE).repartition(3)
+    df = op.counted_matches(rows(spark, [1]), probe)
+    assert df.collect()[0]["matched"] == 2500
+    sent = [m["shuffleRecordsWritten"] for name, m in plan_metrics(df) if "Exchange" in name and m.get("shuffleRecordsWritten")]
+    assert 5000 in sent and max(n for n in sent if n != 5000) <= 6
+
+
 def test_wide_payloads_are_not_broadcast(spark):
     wide = spark.range(10).selectExpr("id", "repeat('x', 1000) as payload")
     assert fits_broadcast(wide) and not fits_broadcast(wide, most=5000) and not fits_broadcast(wide, rows=9)
