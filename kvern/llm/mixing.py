@@ -20,7 +20,7 @@ from kvern.llm.util import written
 
 NONE = "(none)"
 #: Rounds at least; more follow, so many at a time, while a share is off by more than the tolerance, up to the most.
-ROUNDS, TOLERANCE, MOST_ROUNDS = 8, 1e-6, 80
+ROUNDS, TOLERANCE, MOST_ROUNDS = 8, 1e-3, 80
 BUDGET = 0.5
 #: Steps at least to find the scale of the chances; it is final when a step doesn't change it.
 SCALING_STEPS = 8
