@@ -85,16 +85,16 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], r
     few = state.count() <= WINDOW_CELLS
     done, off = 0, math.inf
     while done < rounds or off > tolerance and done < MOST_ROUNDS:
-        # Few cells are one task's work: no round needs an exchange.
-        state = state.coalesce(1) if few else state
         for _ in range(max(1, rounds)):
+            # Few cells are one task's work: a round needs no exchange, and its sorts are all that a plan holds.
+            state = state.coalesce(1) if few else state
             for dim in targets:
                 if few:
                     state = state.withColumn("w", _over(F.col("w"), F.sum("w").over(Window.partitionBy(dim))) * F.col(f"t_{dim}"))
                 else:
                     sums = state.groupBy(dim).agg(F.sum("w").alias("s"))
                     state = written(state.join(sums, dim).withColumn("w", _over(F.col("w"), F.col("s")) * F.col(f"t_{dim}")).drop("s"))
-        state = written(state)
+            state = written(state) if few else state
         done, off = done + max(1, rounds), _residual(state, list(targets))
     if off > tolerance:
         logging.getLogger("kvern").warning("raking: after %d rounds a share is off by %.2g; the targets contradict each other", done, off)
