@@ -155,7 +155,8 @@ def with_next(docs: DataFrame, carried: list[str], id_column: str, key: str, siz
     lent = F.broadcast(spark.createDataFrame([(heads[i][0], *heads[i - 1][1:]) for i in range(len(heads))], "__kvern_to int, __kvern_head long, __kvern_key long"))
     borrowed = placed.join(lent, (F.col("__kvern_id") == F.col("__kvern_head")) & (F.col(key) == F.col("__kvern_key")))
     borrowed = borrowed.dropDuplicates(["__kvern_to"]).select(*docs.columns, "__kvern_id", F.col("__kvern_to").alias("__kvern_range"), F.lit(True).alias("__kvern_lent"))
-    every = derived(placed.unionByName(borrowed))
+    # Dealt first: what is derived is not shuffled, and the window finds its rows where they are.
+    every = derived(placed.unionByName(borrowed).repartition("__kvern_range"))
     w = Window.partitionBy("__kvern_range").orderBy("__kvern_lent", F.desc("__kvern_id"), F.desc(key))
     out = every.select(*(c for c in every.columns if c not in ("__kvern_id", "__kvern_range")), *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
     return out.where(~F.col("__kvern_lent")).drop("__kvern_lent")
